@@ -56,8 +56,8 @@ def map_columns(
     n = len(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
+        for whole in batches:
+            for batch in bounded(whole, 0):
                 arrays = [batch.column(i) for i in range(n, batch.num_columns)] + fn(*[batch.column(i) for i in range(n)])
                 yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
@@ -76,3 +76,19 @@ def ragged(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nd
         return values[:0]
     ends = np.cumsum(lengths)
     return values[np.arange(total) - np.repeat(ends - lengths, lengths) + np.repeat(starts, lengths)]
+
+
+def bounded(batch: pa.RecordBatch, column: int, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of ``batch`` whose texts in ``column`` take about ``max_bytes`` or are a single row."""
+    col = batch.column(column)
+    if not batch.num_rows:
+        return
+    import pyarrow.compute as pc
+
+    upto = np.cumsum(pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(upto):
+        before = upto[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(upto, before + max_bytes, side="right")))
+        yield batch.slice(start, end - start)
+        start = end
