@@ -40,7 +40,7 @@ def test_word_cache_shrinks_without_changing_ids(encoder, monkeypatch):
         texts = [" ".join(f"w{rng.randrange(90)}x," for _ in range(30)) for _ in range(3)]
         ids, _ = small.encode(pa.array(texts), 2)
         assert ids.tolist() == [int(i) for x in reference(encoder, texts) for i in x]
-    assert len(small.known) <= 50 + 90
+    assert len(small.cache.known) <= 50 + 90
 
 
 @settings(max_examples=100, deadline=None)

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .common import ragged
+from .common import RaggedCache, ragged
 
 #: Words that a worker keeps; beyond it the less used half goes.
 CACHE_WORDS = 400_000
@@ -84,21 +84,7 @@ class WordEncoder:
         self.vocab_size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.letters, self.pieces = byte_letters(), {}
         self.model = self.tokenizer.model
-        self.known: dict[str, int] = {}
-        self.starts, self.lengths, self.hits = (np.zeros(1024, np.int64) for _ in range(3))
-        self.pool, self.used = np.zeros(1 << 14, np.uint32), 0
-
-    def _shrink(self) -> None:
-        """Keep the more used half of the words."""
-        words, at = list(self.known), np.fromiter(self.known.values(), np.int64, len(self.known))
-        keep = np.sort(np.argsort(-self.hits[at], kind="stable")[: CACHE_WORDS // 2])
-        at = at[keep]
-        pool = ragged(self.pool, self.starts[at], self.lengths[at])
-        self.lengths, self.hits = self.lengths[at].copy(), self.hits[at] // 2
-        self.starts = np.cumsum(self.lengths) - self.lengths
-        self.pool, self.used = pool, len(pool)
-        self.known = {words[i]: k for k, i in enumerate(keep.tolist())}
-        self.pieces = {}
+        self.cache = RaggedCache(CACHE_WORDS, self._learn)
 
     def _piece(self, piece: str) -> list[int]:
         ids = self.pieces.get(piece)
@@ -117,7 +103,7 @@ class WordEncoder:
                 out[of].append(x)
         return out
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, words: list[str]) -> list[list[int]]:
         each: list = [None] * len(words)
         if self.plain:
             piece, plain, cut = self._piece, PLAIN.fullmatch, PIECES.findall
@@ -128,18 +114,7 @@ class WordEncoder:
         rest = [i for i, x in enumerate(each) if x is None]
         for i, x in zip(rest, self._library([words[i] for i in rest]), strict=True):
             each[i] = x
-        counts = np.fromiter(map(len, each), np.int64, len(each))
-        ids = np.fromiter((x for e in each for x in e), np.uint32, int(counts.sum()))
-        n, k = len(self.known), len(words)
-        while self.used + len(ids) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), 1 << 14), np.uint32)])
-        while n + k > len(self.starts):
-            self.starts, self.lengths, self.hits = (np.concatenate([x, np.zeros(max(len(x), 1024), np.int64)]) for x in (self.starts, self.lengths, self.hits))
-        self.pool[self.used : self.used + len(ids)] = ids
-        self.starts[n : n + k] = self.used + np.cumsum(counts) - counts
-        self.lengths[n : n + k], self.hits[n : n + k] = counts, 0
-        self.used += len(ids)
-        self.known.update(zip(words, range(n, n + k), strict=True))
+        return each
 
     def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids (uint32) one text after another, and how many each text has. A null is an empty text."""
@@ -151,16 +126,10 @@ class WordEncoder:
         else:
             split = pc.ascii_split_whitespace(texts)
             coded = split.flatten().dictionary_encode()
-            words = coded.dictionary.to_pylist()
-            if len(self.known) + len(words) > CACHE_WORDS and len(self.known) > CACHE_WORDS // 2:
-                self._shrink()
-            if new := [w for w in words if w not in self.known]:
-                self._learn(new)
-            of = np.fromiter((self.known[w] for w in words), np.int64, len(words))
-            self.hits[of] += 1
-            of = of[coded.indices.to_numpy(zero_copy_only=False)] if len(words) else of
-            lengths = self.lengths[of]
-            ids = ragged(self.pool, self.starts[of], lengths)
+            of = self.cache.places(coded.dictionary.to_pylist())
+            of = of[coded.indices.to_numpy(zero_copy_only=False)] if len(of) else of
+            lengths = self.cache.lengths[of]
+            ids = ragged(self.cache.pool, self.cache.starts[of], lengths)
             ends = np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))
             upto = np.concatenate([[0], np.cumsum(lengths)])[ends]
             counts = np.diff(upto, prepend=0).astype(np.int64)
