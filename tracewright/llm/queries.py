@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality_rules, sentence_pieces, token_files
+from . import packing, quality_rules, sentence_pieces, token_files, warc_packages
 from .language_id import op1_language_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op4_quality_rules": quality_rules.op4_quality_rules,
+    "op5_warc_packages": warc_packages.op5_warc_packages,
     "op6_token_files": token_files.op6_token_files,
     "op8_sentence_pieces": sentence_pieces.op8_sentence_pieces,
     "op10_packing": packing.op10_packing,
