@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_trees, packing, quality_rules, sentence_pieces, token_files, warc_packages
+from . import chat_trees, packing, quality_rules, sentence_pieces, token_files, toxicity, warc_packages
 from .language_id import op1_language_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op5_warc_packages": warc_packages.op5_warc_packages,
     "op6_token_files": token_files.op6_token_files,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_sentence_pieces": sentence_pieces.op8_sentence_pieces,
     "op9_chat_trees": chat_trees.op9_chat_trees,
     "op10_packing": packing.op10_packing,
