@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_trees, near_vectors, packing, quality_rules, sentence_pieces, token_files, toxicity, warc_packages
+from . import chat_trees, near_vectors, ngram_join, packing, quality_rules, sentence_pieces, token_files, toxicity, warc_packages
 from .language_id import op1_language_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_near_vectors": near_vectors.op2_near_vectors,
+    "op3_ngram_join": ngram_join.op3_ngram_join,
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op5_warc_packages": warc_packages.op5_warc_packages,
     "op6_token_files": token_files.op6_token_files,
