@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: What ends a line, besides CR LF. They are the breaks of ``str.splitlines``.
-TERMINATORS = "\n\r\v\f\x1c\x1d\x1e\x85  "
+TERMINATORS = "\n\r\v\f\x1c\x1d\x1e\x85\u2028\u2029"
 #: The white space of ``str.isspace``.
 WHITESPACE = "".join(chr(c) for c in (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
 _CLASS = "".join(f"\\x{{{ord(c):x}}}" for c in TERMINATORS)
