@@ -7,8 +7,10 @@ Two documents link if their sets of word shingles have a Jaccard index of at lea
    merged over partitions), then by hash. A set of n shingles with the size bound T = ceil(J n) puts
    its first n - T + k columns into the product: linked sets share at least k of them.
 2. The product is formed column by column. A column of few sets gives partial overlap counts, which
-   are summed over the columns; pairs under k or with unfit sizes are dropped. A column of many sets
-   gives only a star, which says that its sets belong together.
+   are summed over the columns; pairs of unfit sizes are dropped. Of a column of many sets only the
+   membership is kept. Two sets share no more long columns than the one with fewer has, so a pair
+   is dropped if its count and that number stay under k, and only sets with k long columns or more
+   can link without a short one: those of a long column are held together by a star.
 3. What hangs together by 2 is a bundle. Each bundle is cut into blocks of rows that meet pairwise in
    tasks of bounded size; a task multiplies its rows' incidence, a slice of columns at a time, over
    all shingles, so the overlaps and the decision are exact. It returns a spanning forest, not pairs.
@@ -33,12 +35,12 @@ PERCENT = 85
 WIDTH = 4
 #: Linked sets must share this many of the columns that enter the product (fewer if they are smaller).
 SHARED = 4
-#: A column of at most this many sets gives pairs, a longer one a star.
+#: A column of at most this many sets gives pairs, a longer one memberships.
 SHORT = 32
 #: Lossy counting: a shingle counts where a run of this many shingles has it so often ...
-RUN, OFTEN = 1 << 22, 4
+RUN, OFTEN = 1 << 22, 2
 #: ... and is frequent from this total on; the order knows at most so many.
-FREQUENT, MOST_FREQUENT = 64, 200_000
+FREQUENT, MOST_FREQUENT = 32, 200_000
 SALTS = 16
 
 
@@ -96,11 +98,14 @@ def _signer(frequent: np.ndarray, percent: int, width: int):
 
 
 def _multiply_columns(percent: int):
-    """Columns, sorted by (h, n, rep), into partial overlaps (need > 0) and stars (need 0)."""
+    """Columns, sorted by (h, n, rep), into pairs (u, v, need) and memberships (u, column, -need) of long ones.
+
+    ``need`` is how many columns a link of the pair, or of the member, shares at least.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = rep = n = np.zeros(0, np.int64)  # rows of the column that is not complete yet
-        starred = False  # whether that column gave a star already; then only its first row is kept
+        starred = False  # whether that column is long for sure; then only its first row, emitted already, is kept
 
         def emit(last: bool) -> Iterator[pa.RecordBatch]:
             nonlocal h, rep, n, starred
@@ -114,9 +119,10 @@ def _multiply_columns(percent: int):
                 done[-1] = long[-1]
             us, vs, needs = [], [], []
             for k in np.flatnonzero(long & done).tolist():
-                us.append(rep[begins[k] + 1 : begins[k] + sizes[k]])
-                vs.append(np.full(sizes[k] - 1, rep[begins[k]]))
-                needs.append(np.zeros(sizes[k] - 1, np.int64))
+                rows = slice(begins[k] + (starred and k == 0), begins[k] + sizes[k])
+                us.append(rep[rows])
+                vs.append(h[rows])
+                needs.append(-np.minimum(SHARED, least_overlap(n[rows], percent)))
             for size in np.unique(sizes[~long & done & (sizes > 1)]).tolist():
                 at = begins[(sizes == size) & ~long & done]
                 i, j = np.triu_indices(size, 1)
@@ -146,6 +152,28 @@ def _multiply_columns(percent: int):
     return run
 
 
+def _long_columns(partial: DataFrame) -> DataFrame:
+    return written(partial.where("need < 0").groupBy("u").agg(F.count("*").alias("long")), "long-columns")
+
+
+def _pairs(partial: DataFrame) -> DataFrame:
+    """Pairs that may share as many columns as they need."""
+    long = _long_columns(partial)
+    summed = partial.where("need > 0").groupBy("u", "v", "need").agg(F.count("*").alias("shared"))
+    for side in ("u", "v"):
+        summed = summed.join(long.select(F.col("u").alias(f"of_{side}"), F.col("long").alias(f"long_{side}")), F.col(side) == F.col(f"of_{side}"), "left")
+    unseen = F.least(F.coalesce("long_u", F.lit(0)), F.coalesce("long_v", F.lit(0)))
+    return summed.where(F.col("shared") + unseen >= F.col("need")).select("u", "v")
+
+
+def _stars(partial: DataFrame) -> DataFrame:
+    """Members of a long column that have enough long columns to link by them alone, each with the least."""
+    long = _long_columns(partial).select(F.col("u").alias("rep"), "long")
+    able = written(partial.where("need < 0").join(long, F.col("u") == F.col("rep")).where("long >= -need").select("rep", F.col("v").alias("h")), "long-members")
+    least = written(able.groupBy("h").agg(F.min("rep").alias("least")), "long-least").withColumnRenamed("h", "k")
+    return able.join(least, F.col("h") == F.col("k")).where("rep <> least").select(F.col("rep").alias("u"), F.col("least").alias("v")).distinct()
+
+
 def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     """Sizes of all intersections of the sets of ``a`` with those of ``b``, columns in slices."""
     rows = np.repeat(np.arange(len(a) + len(b)), [len(s) for s in (*a, *b)])
@@ -240,8 +268,8 @@ def ngram_join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", p
     parts = shuffle_partitions(spark)
 
     columns = classes.select(F.explode("first").alias("h"), "rep", "n").repartition(parts, "h").sortWithinPartitions("h", "n", "rep")
-    partial = columns.mapInArrow(_multiply_columns(percent), "u long, v long, need int")
-    together = partial.groupBy("u", "v", "need").agg(F.count("*").alias("shared")).where("shared >= need").select("u", "v")
+    partial = written(columns.mapInArrow(_multiply_columns(percent), "u long, v long, need int"), "partial")
+    together = _pairs(partial).union(_stars(partial))
     bundles = written(components(together).select(F.col("node").alias("rep"), F.col("component").alias("bundle")), "bundles")
 
     sizes = written(bundles.groupBy("bundle").agg(F.count("*").alias("size")), "bundle-sizes")
