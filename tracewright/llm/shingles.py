@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
+from .common import bounded
+
 #: Words are runs of anything but the six ASCII blanks; A-Z count as a-z.
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -65,11 +67,20 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return hashes, counts.astype(np.int64)
 
 
+#: Hashing takes some fifty bytes for each byte of text, so a batch is hashed in slices of this size.
+SLICE_BYTES = 1 << 20
+
+
 def shingle_sets(texts: pa.Array, width: int = 4) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text.
 
     A text with fewer than ``width`` words has one shingle, its whole sequence; one without words has none.
     """
+    batch = pa.RecordBatch.from_arrays([texts], names=["t"])
+    return [s for part in bounded(batch, 0, SLICE_BYTES) for s in _shingle_sets(part.column(0), width)]
+
+
+def _shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
     words, counts = word_hashes(texts)
     ends = np.cumsum(counts)
     begins = ends - counts
