@@ -42,6 +42,8 @@ RUN, OFTEN = 1 << 22, 2
 #: ... and is frequent from this total on; the order knows at most so many.
 FREQUENT, MOST_FREQUENT = 32, 200_000
 SALTS = 16
+#: Bits of the bitmap of bundle members, and of each of Spark's bitmaps that it consists of.
+MEMBER_BITS, BITMAP_BITS = 1 << 24, 1 << 15
 
 
 def frequent_shingles(texts: DataFrame, width: int) -> np.ndarray:
@@ -174,6 +176,20 @@ def _stars(partial: DataFrame) -> DataFrame:
     return able.join(least, F.col("h") == F.col("k")).where("rep <> least").select(F.col("rep").alias("u"), F.col("least").alias("v")).distinct()
 
 
+def _likely(rows: DataFrame, dealt: DataFrame) -> DataFrame:
+    """Rows that may be in a bundle, so that other texts are not shuffled.
+
+    The bitmap of hashed ids has ``MEMBER_BITS`` bits whatever the input, so its broadcast is bounded
+    by 2 MB; a fuller bitmap only lets more rows pass to the join that decides.
+    """
+    at = lambda c: F.pmod(F.xxhash64(c), F.lit(MEMBER_BITS))
+    bits = dealt.select(at("rep").alias("bit")).groupBy(F.floor(F.col("bit") / BITMAP_BITS).alias("bucket")).agg(F.bitmap_construct_agg(F.col("bit") % BITMAP_BITS).alias("bits"))
+    place = at("doc_id") % BITMAP_BITS
+    byte = F.conv(F.hex(F.substring("bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    near = rows.withColumns({"b": F.floor(at("doc_id") / BITMAP_BITS), "place": place}).join(F.broadcast(bits.withColumnRenamed("bucket", "k")), F.col("b") == F.col("k"))
+    return near.where((byte / F.pow(F.lit(2), F.col("place") % 8)).cast("int") % 2 == 1).select("doc_id", "t")
+
+
 def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     """Sizes of all intersections of the sets of ``a`` with those of ``b``, columns in slices."""
     rows = np.repeat(np.arange(len(a) + len(b)), [len(s) for s in (*a, *b)])
@@ -223,13 +239,11 @@ def _multiply_blocks(percent: int, width: int):
     """Rows sorted by (bundle, low, high); each group's links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, own, texts = None, [], [], []
+        key, ids, own, sets = None, [], [], []
 
         def finish() -> list[tuple[int, int]]:
             if key is None:
                 return []
-            # Rows that occur twice (one id, one text) are one set.
-            sets = shingle_sets(pa.array(texts, pa.large_string()), width)
             return link_blocks(np.array(ids, np.int64), sets, np.array(own), key[1], key[2], percent)
 
         def batch_of(rows: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -238,13 +252,14 @@ def _multiply_blocks(percent: int, width: int):
         for whole in batches:
             rows = []
             for batch in bounded(whole, 5):
-                for bundle, low, high, mine, doc, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                hashed = shingle_sets(batch.column(5), width)
+                for bundle, low, high, mine, doc, found in zip(*(c.to_pylist() for c in batch.columns[:5]), hashed, strict=True):
                     if (bundle, low, high) != key:
                         rows += finish()
-                        key, ids, own, texts = (bundle, low, high), [], [], []
+                        key, ids, own, sets = (bundle, low, high), [], [], []
                     ids.append(doc)
                     own.append(mine)
-                    texts.append(text)
+                    sets.append(found)
             if rows:
                 yield batch_of(rows)
         if rows := finish():
@@ -277,7 +292,8 @@ def ngram_join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", p
     rows_of = F.least(F.lit(1024), F.greatest(F.lit(96), F.floor(2 * F.sqrt("size"))))
     blocks = bundles.join(sizes, "bundle").withColumn("blocks", F.ceil(F.col("size") / rows_of).cast("int"))
     dealt = blocks.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).select("rep", "bundle", "blocks", "own")
-    members = rows.join(dealt, rows["doc_id"] == dealt["rep"]).select("bundle", "blocks", "own", "doc_id", "t")
+    likely = _likely(rows, dealt)
+    members = likely.join(dealt, likely["doc_id"] == dealt["rep"]).select("bundle", "blocks", "own", "doc_id", "t")
     paired = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tasks = paired.select("bundle", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "doc_id", "t")
     groups = tasks.repartition(parts, "bundle", "low", "high").sortWithinPartitions("bundle", "low", "high")
