@@ -3,8 +3,9 @@
 Two documents link if their sets of word shingles have a Jaccard index of at least
 ``PERCENT / 100``. Equal sets are one class, compared once.
 
-1. Columns are ordered rare before frequent (frequent ones found by lossy counting of all shingles,
-   merged over partitions), then by hash. A set of n shingles with the size bound T = ceil(J n) puts
+1. Columns are ordered rare before frequent, then by hash. Shingles whose hash is in the lowest
+   quarter, which is where rare columns are taken from, are counted exactly; the others by lossy
+   counting, merged over partitions. A set of n shingles with the size bound T = ceil(J n) puts
    its first n - T + k columns into the product: linked sets share at least k of them.
 2. The product is formed column by column. A column of few sets gives partial overlap counts, which
    are summed over the columns; pairs of unfit sizes are dropped. Of a column of many sets only the
@@ -37,24 +38,24 @@ WIDTH = 4
 SHARED = 4
 #: A column of at most this many sets gives pairs, a longer one memberships.
 SHORT = 32
-#: Lossy counting: a shingle counts where a run of this many shingles has it so often ...
-RUN, OFTEN = 1 << 22, 2
-#: ... and is frequent from this total on; the order knows at most so many.
-FREQUENT, MOST_FREQUENT = 32, 200_000
+#: Shingles with smaller hashes are all counted; others count where a run of ``RUN`` shingles has them so often ...
+COUNTED, RUN, OFTEN = np.uint64(1 << 62), 1 << 22, 2
+#: ... and are frequent from this total on; the order knows at most so many.
+FREQUENT, MOST_FREQUENT = 32, 1_000_000
 SALTS = 16
 #: Bits of the bitmap of bundle members, and of each of Spark's bitmaps that it consists of.
 MEMBER_BITS, BITMAP_BITS = 1 << 24, 1 << 15
 
 
 def frequent_shingles(texts: DataFrame, width: int) -> np.ndarray:
-    """Sorted hashes of frequent shingles: bounded, from all texts, an estimate from below."""
+    """Sorted hashes of frequent shingles, ``MOST_FREQUENT`` at most, from all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
 
         def counted() -> pa.RecordBatch:
             values, counts = np.unique(np.concatenate(held), return_counts=True)
-            often = counts >= OFTEN
+            often = (counts >= OFTEN) | (values < COUNTED)
             return pa.RecordBatch.from_arrays([pa.array(values[often].view(np.int64)), pa.array(counts[often].astype(np.int64))], names=["h", "n"])
 
         for whole in batches:
