@@ -19,7 +19,9 @@ import pyarrow.compute as pc
 from .common import RaggedCache, ragged
 
 #: Words that a worker keeps; beyond it the less used half goes.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
+#: Lower-cased pieces of words that a worker keeps; beyond it all go.
+CACHE_PIECES = 100_000
 
 
 def splits_at_blanks(spec: dict) -> bool:
@@ -89,7 +91,7 @@ class WordEncoder:
     def _piece(self, piece: str) -> list[int]:
         ids = self.pieces.get(piece)
         if ids is None:
-            if len(self.pieces) >= CACHE_WORDS:
+            if len(self.pieces) >= CACHE_PIECES:
                 self.pieces = {}
             ids = self.pieces[piece] = [t.id for t in self.model.tokenize(piece.translate(self.letters))]
         return ids
