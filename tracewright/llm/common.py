@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zlib
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -64,9 +63,15 @@ def map_columns(
     return inner.mapInArrow(run, schema)
 
 
-def crc32_u32(ids: np.ndarray) -> int:
-    """Unsigned CRC-32 of ids as little-endian unsigned 32-bit integers."""
-    return zlib.crc32(np.ascontiguousarray(ids, dtype="<u4").tobytes()) & 0xFFFFFFFF
+def release_memory() -> None:
+    """Give freed memory back to the system: Python workers outlive their tasks and serve later stages."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
 
 
 def ragged(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, shuffle_partitions, written
+from .common import bounded, release_memory, shuffle_partitions, written
 from .components import components
 from .shingles import mix, shingle_sets
 
@@ -68,6 +68,8 @@ def frequent_shingles(texts: DataFrame, width: int) -> np.ndarray:
                     held, n = [], 0
         if held:
             yield counted()
+        held = []
+        release_memory()
 
     totals = texts.select("t").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
     top = totals.orderBy(F.desc("n"), "h").limit(MOST_FREQUENT).select("h").toPandas()["h"]
@@ -96,6 +98,7 @@ def _signer(frequent: np.ndarray, percent: int, width: int):
                         first.append(np.zeros(0, np.int64))
                 numbers = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (n, c1, c2)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *numbers, pa.array(first, pa.list_(pa.int64()))], names=["doc_id", "n", "c1", "c2", "first"])
+        release_memory()
 
     return run
 
@@ -265,6 +268,8 @@ def _multiply_blocks(percent: int, width: int):
                 yield batch_of(rows)
         if rows := finish():
             yield batch_of(rows)
+        sets = []
+        release_memory()
 
     return run
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bounded, shuffle_partitions, written
+from .common import bounded, release_memory, shuffle_partitions, written
 from .token_files import END_ID, WORD_BPE
 from .token_ids import encoder, tokenizer_path
 
@@ -53,6 +53,7 @@ def tokenize_queues(docs: DataFrame, tokenizer: str, *, end_id: int = END_ID, do
                     upto[s] = before[-1] + n
                 packed = [ids[a:b].tobytes() for a, b in zip(ends - counts, ends, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([part] * len(packed), pa.int32()), pa.array(before, pa.int64()), pa.array(counts, pa.int64()), pa.array([ids.itemsize] * len(packed), pa.int32()), pa.array(packed, pa.binary())], names=NAMES)
+        release_memory()
 
     return written(dealt.mapInArrow(run, "source string, doc_id long, part int, before long, n_tokens long, width int, ids binary"), "queues")
 
