@@ -20,9 +20,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop texts that fail the base rules or exceed the fences of their language and source."""
+    """Drop texts that fail the base rules or exceed the bounded fences of their language and source."""
     measured = written(quality_rules.measure(docs.select(*COLUMNS)), "measured")
-    return quality_rules.judge(measured, quality_rules.adaptive_fences(measured)).where("kept").select(*COLUMNS)
+    return quality_rules.judge(measured, quality_rules.adaptive_fences(measured, bounded=True)).where("kept").select(*COLUMNS)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

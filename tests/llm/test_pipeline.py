@@ -48,3 +48,11 @@ def test_stages_take_odd_documents(spark, odd_docs, sf_dir):
         assert docs.count() >= 0
     copies = cp.near_copies(spark, odd_docs, sf_dir)
     assert copies.where("doc_id = 1").count() == 1 and copies.where("doc_id is null").count() == 1
+
+
+def test_boilerplate_in_a_fifth_of_a_source_is_dropped(spark):
+    clean = " ".join(f"word{i}" for i in range(60))
+    junk = "\n".join([clean, *["same"] * 8])
+    rows = [(i, junk if i % 5 == 0 else clean, "en", "hot", 1) for i in range(300)]
+    kept = cp.quality(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "")
+    assert sorted(r.doc_id for r in kept.collect()) == [i for i in range(300) if i % 5]

@@ -103,26 +103,33 @@ def merge(sketches: DataFrame, by: list[str]) -> DataFrame:
     return sketches.groupBy(*by, "metric", "bucket").agg(F.sum("n").alias("n"))
 
 
-def fences(sketches: DataFrame, by: list[str]) -> DataFrame:
-    """One row per group: ``n_texts`` and the fence of each metric."""
+def fences(sketches: DataFrame, by: list[str], bounded: bool = False) -> DataFrame:
+    """One row per group: ``n_texts`` and the fence of each metric.
+
+    Junk in a tenth of the texts lifts the upper quantile. A bounded fence lies no further above the
+    median than the lower half's spread allows, which junk in less than half of the texts hardly lifts.
+    """
     w = Window.partitionBy(*by, "metric")
     ranked = sketches.withColumns({"total": F.sum("n").over(w), "upto": F.sum("n").over(w.orderBy("bucket"))})
     at = lambda percent: F.min(F.when(F.col("upto") * 100 >= F.col("total") * percent, F.col("bucket")))
-    per = ranked.groupBy(*by, "metric").agg(F.max("total").alias("total"), at(50).alias("mid"), at(UPPER_PERCENT).alias("high"))
-    fence = lambda m: F.max(F.when(F.col("metric") == m, F.greatest(F.lit(FLOORS[m]), F.col("high") + SLACK * (F.col("high") - F.col("mid")))))
+    per = ranked.groupBy(*by, "metric").agg(F.max("total").alias("total"), at(50).alias("mid"), at(UPPER_PERCENT).alias("high"), at(100 - UPPER_PERCENT).alias("low"))
+    upper = F.col("high") + SLACK * (F.col("high") - F.col("mid"))
+    if bounded:
+        upper = F.least(upper, F.col("mid") + (SLACK + 1) * (F.col("mid") - F.col("low")))
+    fence = lambda m: F.max(F.when(F.col("metric") == m, F.greatest(F.lit(FLOORS[m]), upper)))
     return per.groupBy(*by).agg(F.max("total").alias("n_texts"), *[fence(m).alias(f"max_{m}") for m in FLOORS])
 
 
-def adaptive_fences(measured: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
+def adaptive_fences(measured: DataFrame, lang: str = "lang", source: str = "source", bounded: bool = False) -> DataFrame:
     """Fences per language and source, from the group's own sketch if it has enough texts.
 
     Null languages and sources are groups like any other. The result has one row per group and is
     a written table, so Spark broadcasts it only if its size is under the session's limit.
     """
     fine = written(sketch(measured.select(F.col(f"`{lang}`").alias("lang"), F.col(f"`{source}`").alias("source"), *FLOORS), ["lang", "source"]), "sketch")
-    own = fences(fine, ["lang", "source"])
-    mid = fences(merge(fine, ["lang"]), ["lang"])
-    top = fences(merge(fine.withColumn("all", F.lit(1)), ["all"]), ["all"])
+    own = fences(fine, ["lang", "source"], bounded)
+    mid = fences(merge(fine, ["lang"]), ["lang"], bounded)
+    top = fences(merge(fine.withColumn("all", F.lit(1)), ["all"]), ["all"], bounded)
     names = ["n_texts", *[f"max_{m}" for m in FLOORS]]
     mid = mid.select(F.col("lang").alias("lang_2"), *[F.col(c).alias(f"{c}_2") for c in names])
     top = top.select(*[F.col(c).alias(f"{c}_3") for c in names])
