@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 
 from tracewright.llm import packing, token_files, token_ids
 from tracewright.llm.common import shared_dir
+from tracewright.llm.pair_merges import PairTable
 
 PATH = token_ids.tokenizer_path(token_files.WORD_BPE)
 
@@ -32,15 +33,31 @@ def test_word_encoder_equals_the_library(encoder, texts):
     assert ids.tolist() == [int(i) for x in want for i in x]
 
 
-def test_word_cache_shrinks_without_changing_ids(encoder, monkeypatch):
-    monkeypatch.setattr(token_ids, "CACHE_WORDS", 50)
-    small = token_ids.WordEncoder(PATH)
-    rng = random.Random(1)
-    for _ in range(20):
-        texts = [" ".join(f"w{rng.randrange(90)}x," for _ in range(30)) for _ in range(3)]
-        ids, _ = small.encode(pa.array(texts), 2)
-        assert ids.tolist() == [int(i) for x in reference(encoder, texts) for i in x]
-    assert len(small.cache.known) <= 50 + 90
+def test_long_pieces_and_words_go_to_the_library(encoder):
+    texts = ["a" * 64 + " " + "a" * 65 + "é" * 33, "x1" * 90 + "'s y'llé", "<|endoftext|> a<|b É×÷ ß"]
+    ids, _ = encoder.encode(pa.array(texts), 2)
+    assert ids.tolist() == [int(i) for x in reference(encoder, texts) for i in x]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.data())
+def test_merges_equal_a_queue_of_pairs(data):
+    merges: dict[tuple[int, int], tuple[int, int]] = {}
+    for _ in range(data.draw(st.integers(0, 20))):
+        pair = tuple(data.draw(st.tuples(*[st.integers(0, 2 + len(merges))] * 2)))
+        merges.setdefault(pair, (data.draw(st.integers(0, 9)), 3 + len(merges)))
+    words = data.draw(st.lists(st.lists(st.integers(0, 2), max_size=12), max_size=12))
+
+    def queue(word: list[int]) -> list[int]:
+        while found := [(merges[p][0], i) for i, p in enumerate(zip(word, word[1:])) if p in merges]:
+            i = min(found)[1]
+            word = [*word[:i], merges[word[i], word[i + 1]][1], *word[i + 2 :]]
+        return word
+
+    table = PairTable(*np.array([(*p, *m) for p, m in merges.items()], np.int64).reshape(-1, 4).T, 3 + len(merges))
+    ids, counts = table.merge(np.array([x for w in words for x in w], np.int64), np.array([len(w) for w in words], np.int64))
+    want = [queue(w) for w in words]
+    assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [x for w in want for x in w]
 
 
 @settings(max_examples=100, deadline=None)

@@ -34,7 +34,17 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, which survives the loss of any executor."""
     path = shared_dir(df.sparkSession, purpose)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables made by ``written``; nothing that is still to be computed may read them."""
+    for df in tables:
+        jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(df.written_path)
+        path.getFileSystem(conf).delete(path, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -63,6 +73,30 @@ def map_columns(
     return inner.mapInArrow(run, schema)
 
 
+_STATE: dict = {}
+
+
+def worker_state(key: tuple, make: Callable):
+    """What ``make`` returns, kept by this worker until it is asked for another key.
+
+    Python workers outlive stages, so a worker keeps one such object, that of its present stage.
+    """
+    if _STATE.get("key") != key:
+        _STATE.clear()
+        release_memory()
+        _STATE.update(key=key, made=make())
+    return _STATE["made"]
+
+
+def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of all texts and where each begins and the last ends; a null has no bytes."""
+    texts = texts.cast(pa.large_string()).fill_null("")
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = texts.buffers()[2]
+    flat = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    return flat[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
 def release_memory() -> None:
     """Give freed memory back to the system: Python workers outlive their tasks and serve later stages."""
     import ctypes

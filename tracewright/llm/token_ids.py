@@ -1,27 +1,23 @@
-"""Token ids from the tokenizers library, each different word encoded once a worker.
+"""Token ids as the tokenizers library gives them, each different word of a batch encoded once.
 
 A tokenizer that drops white space and never merges across it gives a text the ids of its
-white-space-separated words in order. Texts are split by Arrow, the words of a batch are made
-distinct, unknown ones go to the library, and the ids are gathered by numpy. Other tokenizers
-encode whole texts.
+white-space-separated words in order. Texts are split by Arrow and the words of a batch made
+distinct. Words of ASCII and Latin-1 letters are normalised, split and merged here, all words at
+once; other words go to the library, and the ids are gathered by numpy. Other tokenizers encode
+whole texts. Nothing is kept from batch to batch but the vocabulary.
 """
 
 from __future__ import annotations
 
 import json
 import os
-import re
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .common import RaggedCache, ragged
-
-#: Words that a worker keeps; beyond it the less used half goes.
-CACHE_WORDS = 250_000
-#: Lower-cased pieces of words that a worker keeps; beyond it all go.
-CACHE_PIECES = 100_000
+from .common import ragged, text_bytes, worker_state
+from .pair_merges import LONGEST, PairTable
 
 
 def splits_at_blanks(spec: dict) -> bool:
@@ -46,16 +42,29 @@ def splits_at_blanks(spec: dict) -> bool:
 BLANK_FREE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
-LATIN = "a-z\u00df-\u00f6\u00f8-\u00ff"
-#: Words of these characters need no library to be normalised and split; "<|" may open a control token.
-PLAIN = re.compile("(?!.*<[|])[!-~\u00c0-\u00d6\u00d8-\u00de" + LATIN[3:] + "]+")
-PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LATIN}]+|[0-9]|[^{LATIN}0-9]+")
+#: Bytes of plain words: visible ASCII but the apostrophe, and the UTF-8 of Latin-1 letters (0xC3 and a second byte).
+_VISIBLE = np.zeros(256, bool)
+_VISIBLE[0x21:0x7F] = True
+_VISIBLE[0x27] = False
+_SECOND = np.zeros(256, bool)
+_SECOND[0x80:0xC0] = True
+_SECOND[[0x97, 0xB7]] = False  # multiplication and division sign
+#: Lower case of a byte behind 0xC3 (row 1) and of any other byte (row 0).
+_LOWER = np.tile(np.arange(256, dtype=np.uint8), (2, 1))
+_LOWER[0, 0x41:0x5B] += 32
+_LOWER[1, 0x80:0x9F] += 32
+#: Kinds of lower-cased bytes: letter, digit, other.
+_KIND = np.full(256, 2, np.int8)
+_KIND[0x61:0x7B] = 0
+_KIND[0x80:] = 0
+_KIND[0x30:0x3A] = 1
 
 
 def has_plain_words(spec: dict) -> bool:
-    """Whether a ``PLAIN`` word's ids are those of its lower-cased ``PIECES`` under the model alone."""
+    """Whether a plain word's ids are those of its lower-cased pieces under the model's merges alone."""
     normal = (spec.get("normalizer") or {}).get("normalizers") or []
     pre = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or []
+    model = spec["model"]
     return (
         [s["type"] for s in normal] == ["NFC", "Replace", "Lowercase"]
         and [s["type"] for s in pre] == ["Split", "ByteLevel"]
@@ -63,14 +72,67 @@ def has_plain_words(spec: dict) -> bool:
         and not pre[1]["add_prefix_space"]
         and not pre[1]["use_regex"]
         and all(t["content"].startswith("<|") for t in spec.get("added_tokens") or [])
+        and model["type"] == "BPE"
+        and not any(model.get(x) for x in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges"))
     )
 
 
-def byte_letters() -> dict[int, str]:
-    """``str.translate`` table from the characters of plain words to byte-level letters."""
+def byte_letters() -> list[str]:
+    """The visible character that stands for each byte in a byte-level vocabulary."""
     shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
     letter = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in set(shown))}
-    return {c: "".join(letter[b] for b in chr(c).encode()) for c in range(33, 256)}
+    return [letter[b] for b in range(256)]
+
+
+class PlainWords:
+    """Ids of plain words by the vocabulary's merges, for all words of a batch at once."""
+
+    def __init__(self, model: dict):
+        vocab, suffix = model["vocab"], model.get("end_of_word_suffix") or ""
+        letters = byte_letters()
+        self.inner = np.array([vocab[x] for x in letters], np.int64)
+        self.last = np.array([vocab[x + suffix] for x in letters], np.int64)
+        merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        at = lambda f: np.fromiter(map(f, merges), np.int64, len(merges))
+        self.table = PairTable(at(lambda m: vocab[m[0]]), at(lambda m: vocab[m[1]]), np.arange(len(merges)), at(lambda m: vocab[m[0] + m[1]]), max(vocab.values()) + 1)
+
+    @staticmethod
+    def plain(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Which words are plain; ``<|`` may open a control token."""
+        before = np.concatenate([np.zeros(1, np.uint8), data[:-1]])
+        after = np.concatenate([data[1:], np.zeros(1, np.uint8)])
+        good = np.where(data == 0xC3, _SECOND[after], np.where(before == 0xC3, _SECOND[data], _VISIBLE[data])) & ~((before == 0x3C) & (data == 0x7C))
+        wrong = np.concatenate([[0], np.cumsum(~good)])
+        return wrong[offsets[1:]] == wrong[offsets[:-1]]
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all words one after another, how many each has, and which words are told.
+
+        Words that are not plain or have a piece of more than ``LONGEST`` bytes have no ids.
+        """
+        n = len(data)
+        if not n:
+            return np.zeros(0, np.int32), np.zeros(len(offsets) - 1, np.int64), offsets[1:] > offsets[:-1]
+        told = self.plain(data, offsets)
+        follows = np.concatenate([[0], (data[:-1] == 0xC3).astype(np.int8)])
+        low = _LOWER[follows, data]
+        kind = _KIND[low]
+        begin = np.zeros(n + 1, bool)
+        begin[1:n] = (kind[1:] != kind[:-1]) | (kind[1:] == 1)
+        begin[offsets] = True
+        starts = np.flatnonzero(begin[:n])
+        lengths = np.diff(np.concatenate([starts, [n]]))
+        symbols = self.inner[low]
+        ends = starts + lengths - 1
+        symbols[ends] = self.last[low[ends]]
+        word = np.searchsorted(offsets, starts, side="right") - 1
+        told[word[lengths > LONGEST]] = False
+        taken = told[word]
+        if not taken.all():
+            symbols, starts, lengths, word = symbols[np.repeat(taken, lengths)], starts[taken], lengths[taken], word[taken]
+        ids, each = self.table.merge(symbols, lengths)
+        counts = np.bincount(word, each, minlength=len(offsets) - 1).astype(np.int64)
+        return ids, counts, told
 
 
 class WordEncoder:
@@ -82,19 +144,9 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         spec = json.loads(self.tokenizer.to_str())
-        self.by_word, self.plain = splits_at_blanks(spec), has_plain_words(spec)
+        self.by_word = splits_at_blanks(spec)
+        self.words = PlainWords(spec["model"]) if self.by_word and has_plain_words(spec) else None
         self.vocab_size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.letters, self.pieces = byte_letters(), {}
-        self.model = self.tokenizer.model
-        self.cache = RaggedCache(CACHE_WORDS, self._learn)
-
-    def _piece(self, piece: str) -> list[int]:
-        ids = self.pieces.get(piece)
-        if ids is None:
-            if len(self.pieces) >= CACHE_PIECES:
-                self.pieces = {}
-            ids = self.pieces[piece] = [t.id for t in self.model.tokenize(piece.translate(self.letters))]
-        return ids
 
     def _library(self, words: list[str]) -> list[list[int]]:
         # One call for many words: the library tells for each id which word it came from.
@@ -105,18 +157,20 @@ class WordEncoder:
                 out[of].append(x)
         return out
 
-    def _learn(self, words: list[str]) -> list[list[int]]:
-        each: list = [None] * len(words)
-        if self.plain:
-            piece, plain, cut = self._piece, PLAIN.fullmatch, PIECES.findall
-            for i, w in enumerate(words):
-                if plain(w):
-                    found = cut(w.lower())
-                    each[i] = piece(found[0]) if len(found) == 1 else [x for p in found for x in piece(p)]
-        rest = [i for i, x in enumerate(each) if x is None]
-        for i, x in zip(rest, self._library([words[i] for i in rest]), strict=True):
-            each[i] = x
-        return each
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of different words, one word after another, and how many each has."""
+        words = words.cast(pa.large_string())
+        if self.words:
+            ids, counts, told = self.words.encode(*text_bytes(words))
+        else:
+            ids, counts, told = np.zeros(0, np.int32), np.zeros(len(words), np.int64), np.zeros(len(words), bool)
+        if not told.all():
+            rest = np.flatnonzero(~told)
+            each = self._library(words.take(pa.array(rest)).to_pylist())
+            at = np.repeat((np.cumsum(counts) - counts)[rest], [len(x) for x in each])
+            ids = np.insert(ids, at, [i for x in each for i in x])
+            counts[rest] = [len(x) for x in each]
+        return ids, counts
 
     def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids (uint32) one text after another, and how many each text has. A null is an empty text."""
@@ -128,10 +182,10 @@ class WordEncoder:
         else:
             split = pc.ascii_split_whitespace(texts)
             coded = split.flatten().dictionary_encode()
-            of = self.cache.places(coded.dictionary.to_pylist())
-            of = of[coded.indices.to_numpy(zero_copy_only=False)] if len(of) else of
-            lengths = self.cache.lengths[of]
-            ids = ragged(self.cache.pool, self.cache.starts[of], lengths)
+            known, n = self._words(coded.dictionary)
+            of = coded.indices.to_numpy(zero_copy_only=False)
+            lengths = n[of]
+            ids = ragged(known.astype(np.uint32), (np.cumsum(n) - n)[of], lengths)
             ends = np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))
             upto = np.concatenate([[0], np.cumsum(lengths)])[ends]
             counts = np.diff(upto, prepend=0).astype(np.int64)
@@ -141,13 +195,8 @@ class WordEncoder:
         return ids.astype(np.uint32, copy=False), counts
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
-
-
 def encoder(path: str) -> WordEncoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    return worker_state(("word-encoder", path), lambda: WordEncoder(path))
 
 
 def tokenizer_path(name: str) -> str:
