@@ -22,20 +22,26 @@ def test_agenda_equals_the_library(encoder, texts):
     want = encoder.library.encode(texts, add_bos=True, add_eos=True)
     ids, counts = encoder.encode(texts)
     assert counts.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
-    encoder.by_word = False  # the agenda over whole texts
+    table, encoder.table = encoder.table, None  # the agenda over whole texts
     try:
         whole, _ = encoder.encode(texts)
     finally:
-        encoder.by_word = True
+        encoder.table = table
     assert whole.tolist() == ids.tolist()
 
 
 def test_a_difference_raises(encoder, monkeypatch):
-    monkeypatch.setattr(encoder, "_encode_normalised", lambda text: [5])
-    with pytest.raises(RuntimeError):
+    monkeypatch.setattr(encoder.table, "merge", lambda symbols, lengths: (np.full(len(lengths), 5), np.ones(len(lengths), np.int64)))
+    with pytest.raises(RuntimeError, match="a word"):
         encoder.encode(["neverseenbefore zzqqxxyy"])
 
 
+def test_long_words_take_the_single_agenda(encoder):
+    texts = ["x" * 65 + " " + "the" * 40 + "é🙂" * 50, " " * 200, "a" * 64 + "  " + "b" * 63, "▁" * 70 + "q"]
+    ids, _ = encoder.encode(texts)
+    assert ids.tolist() == [i for e in encoder.library.encode(texts, add_bos=True, add_eos=True) for i in e]
+
+
 def brute(encoder, text):
     ids = encoder.library.encode(text or "", add_bos=True, add_eos=True)
     return len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(encoder.library.decode(ids).encode()).hexdigest()
