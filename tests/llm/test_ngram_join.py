@@ -33,8 +33,8 @@ def test_overlaps(a, b):
     assert nj.overlaps(arrays(a), arrays(b)).tolist() == [[len(x & y) for y in b] for x in a]
 
 
-def brute(rows, percent=85):
-    sets = [(d, frozenset(brute_set(t))) for d, t in rows]
+def brute(rows, percent=85, width=4):
+    sets = [(d, frozenset(brute_set(t, width))) for d, t in rows]
     able = [(d, s) for d, s in sets if d is not None and s]
     root = {d: d for d, _ in able}
 
@@ -75,10 +75,10 @@ def near_copies(n, seed=0):
     return rows
 
 
-@pytest.mark.parametrize("short", [32, 4])
-def test_join_against_brute_force(spark, monkeypatch, short):
-    monkeypatch.setattr(nj, "SHORT", short)
-    monkeypatch.setattr(nj, "FREQUENT", 8)
+@pytest.mark.parametrize(("short", "hot", "shingles"), [(32, 1024, 1 << 19), (4, 1024, 1 << 19), (4, 8, 1 << 19), (32, 8, 2000)])
+def test_join_against_brute_force(spark, monkeypatch, short, hot, shingles):
+    for name, value in (("SHORT", short), ("HOT", hot), ("BLOCK_SHINGLES", shingles), ("FREQUENT", 8)):
+        monkeypatch.setattr(nj, name, value)
     rows = near_copies(240)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     assert got(df) == brute(rows)
@@ -103,6 +103,39 @@ def test_odd_documents(spark, odd_docs):
     assert got(odd_docs.limit(0)) == []
 
 
+def test_rows_of_one_id_are_one_node(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(3, a), (5, a), (5, b), (7, b), (7, b), (8, c), (9, None), (9, c), (4, ""), (None, a)]
+    want = [(3, 27, 3), (5, 27, 3), (5, 27, 3), (7, 27, 3), (7, 27, 3), (8, 27, 8), (9, 0, 9), (9, 27, 8), (4, 0, 4), (None, 27, None)]
+    assert got(spark.createDataFrame(rows, "doc_id long, text string")) == sorted(want, key=str)
+
+
+def test_words_that_collide_in_polynomial_hashes():
+    def thue(n, x="a", y="b"):
+        return x if not n else thue(n - 1, x, y) + thue(n - 1, y, x)
+
+    a, b = shingle_sets(pa.array([f"x y z {thue(10)}", f"x y z {thue(10, 'b', 'a')}"]))
+    assert len(a) == len(b) == 1 and a[0] != b[0]
+
+
+def test_a_very_long_text_is_hashed_whole_within_bounds():
+    """Ten megabytes take a few hundred megabytes at most, and cuts fall between words."""
+    import subprocess
+    import sys
+
+    code = """
+import resource, numpy as np, pyarrow as pa
+from tracewright.llm.shingles import shingle_sets
+text = " ".join(map(str, range(100_000, 1_600_000)))
+few = shingle_sets(pa.array(["a b c d e"]))
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+(found,) = shingle_sets(pa.array([text]))
+print(len(found), resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before)
+"""
+    n, kb = map(int, subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, timeout=120).stdout.split())
+    assert n == 1_500_000 - 3 and kb < 300_000
+
+
 def test_op3_on_documents(spark):
     sf = "/root/testdata/sf0.01"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]

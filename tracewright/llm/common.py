@@ -51,6 +51,24 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Bits of the bitmap of ``likely``, and of each of Spark's bitmaps that it consists of.
+MEMBER_BITS, BITMAP_BITS = 1 << 24, 1 << 15
+
+
+def likely(rows: DataFrame, column: str, members: DataFrame, member: str) -> DataFrame:
+    """Rows whose ``column`` may be among ``members``, so that a join with these shuffles no others.
+
+    The bitmap of hashed members has ``MEMBER_BITS`` bits whatever the input, so its broadcast is bounded
+    by 2 MB; a fuller bitmap only lets more rows pass to the join that decides.
+    """
+    at = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(MEMBER_BITS))
+    bits = members.select(at(member).alias("bit")).groupBy(F.floor(F.col("bit") / BITMAP_BITS).alias("bucket")).agg(F.bitmap_construct_agg(F.col("bit") % BITMAP_BITS).alias("bits"))
+    place = at(column) % BITMAP_BITS
+    byte = F.conv(F.hex(F.substring("bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    near = rows.withColumns({"bucket_of": F.floor(at(column) / BITMAP_BITS), "place": place}).join(F.broadcast(bits.withColumnRenamed("bucket", "k")), F.col("bucket_of") == F.col("k"))
+    return near.where((byte / F.pow(F.lit(2), F.col("place") % 8)).cast("int") % 2 == 1).select(*rows.columns)
+
+
 def map_columns(
     df: DataFrame, columns: list[str], fields: list[T.StructField], fn: Callable[..., list[pa.Array]], drop: Iterable[str] = ()
 ) -> DataFrame:
@@ -60,7 +78,10 @@ def map_columns(
     """
     gone = {f.name for f in fields} | set(drop)
     keep = [c for c in df.columns if c not in gone]
-    inner = df.select(*[F.col(f"`{c}`").alias(f"__in{i}") for i, c in enumerate(columns)], *[F.col(f"`{c}`") for c in keep])
+    prefix = "in"
+    while any(c.startswith(prefix) for c in keep):
+        prefix = f"_{prefix}"
+    inner = df.select(*[F.col(f"`{c}`").alias(f"{prefix}{i}") for i, c in enumerate(columns)], *[F.col(f"`{c}`") for c in keep])
     schema = T.StructType([f for f in df.schema.fields if f.name in keep] + fields)
     n = len(columns)
 

@@ -11,9 +11,10 @@ Two documents link if their sets of word shingles have a Jaccard index of at lea
    are summed over the columns; pairs of unfit sizes are dropped. Of a column of many sets only the
    membership is kept. Two sets share no more long columns than the one with fewer has, so a pair
    is dropped if its count and that number stay under k, and only sets with k long columns or more
-   can link without a short one: those of a long column are held together by a star.
-3. What hangs together by 2 is a bundle. Each bundle is cut into blocks of rows that meet pairwise in
-   tasks of bounded size; a task multiplies its rows' incidence, a slice of columns at a time, over
+   can link without a short one: those of a long column are held together by a star. Columns of very
+   frequent shingles are told apart before the product, so that none of them is gathered in a task.
+3. What hangs together by 2 is a bundle. Each bundle is cut into blocks of a bounded number of rows and
+   of shingles that meet pairwise in tasks; a task multiplies its rows' incidence, a slice of columns at a time, over
    all shingles, so the overlaps and the decision are exact. It returns a spanning forest, not pairs.
 
 Any order of columns gives the same links, so the frequent ones only save work.
@@ -28,9 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, release_memory, shuffle_partitions, written
+from .common import bounded, forget, likely, release_memory, shuffle_partitions, written
 from .components import components
-from .shingles import mix, shingle_sets
+from .shingles import each_shingle_sets, mix, shingle_sets
 
 PERCENT = 85
 WIDTH = 4
@@ -39,41 +40,45 @@ SHARED = 4
 #: A column of at most this many sets gives pairs, a longer one memberships.
 SHORT = 32
 #: Shingles with smaller hashes are all counted; others count where a run of ``RUN`` shingles has them so often ...
-COUNTED, RUN, OFTEN = np.uint64(1 << 62), 1 << 22, 2
+COUNTED, RUN, OFTEN = np.uint64(1 << 62), 1 << 20, 2
 #: ... and are frequent from this total on; the order knows at most so many.
 FREQUENT, MOST_FREQUENT = 32, 1_000_000
-SALTS = 16
-#: Bits of the bitmap of bundle members, and of each of Spark's bitmaps that it consists of.
-MEMBER_BITS, BITMAP_BITS = 1 << 24, 1 << 15
+#: Columns of shingles with this total are counted before the product; long ones never reach a task as a whole.
+HOT = 1024
+#: Rows and shingles of a block, on average.
+BLOCK_ROWS, BLOCK_SHINGLES = 1024, 1 << 19
 
 
-def frequent_shingles(texts: DataFrame, width: int) -> np.ndarray:
-    """Sorted hashes of frequent shingles, ``MOST_FREQUENT`` at most, from all texts."""
+def frequent_shingles(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of frequent shingles, ``MOST_FREQUENT`` at most, sorted, and the totals found, from all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
 
-        def counted() -> pa.RecordBatch:
+        def counted() -> Iterator[pa.RecordBatch]:
             values, counts = np.unique(np.concatenate(held), return_counts=True)
             often = (counts >= OFTEN) | (values < COUNTED)
-            return pa.RecordBatch.from_arrays([pa.array(values[often].view(np.int64)), pa.array(counts[often].astype(np.int64))], names=["h", "n"])
+            values, counts = values[often], counts[often]
+            for i in range(0, len(values), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(values[i : i + (1 << 16)].view(np.int64)), pa.array(counts[i : i + (1 << 16)].astype(np.int64))], names=["h", "n"])
 
         for whole in batches:
-            for batch in bounded(whole, 0):
-                sets = shingle_sets(batch.column(0), width)
+            for sets in each_shingle_sets(whole.column(0), width):
                 held += sets
                 n += sum(map(len, sets))
                 if n >= RUN:
-                    yield counted()
+                    yield from counted()
                     held, n = [], 0
         if held:
-            yield counted()
+            yield from counted()
         held = []
         release_memory()
 
     totals = texts.select("t").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
-    top = totals.orderBy(F.desc("n"), "h").limit(MOST_FREQUENT).select("h").toPandas()["h"]
-    return np.sort(top.to_numpy(np.int64).view(np.uint64))
+    top = totals.orderBy(F.desc("n"), "h").limit(MOST_FREQUENT).toPandas()
+    h, n = top["h"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
+    order = np.argsort(h)
+    return h[order], n[order]
 
 
 def least_overlap(n: np.ndarray | int, percent: int) -> np.ndarray | int:
@@ -158,13 +163,27 @@ def _multiply_columns(percent: int):
     return run
 
 
-def _long_columns(partial: DataFrame) -> DataFrame:
-    return written(partial.where("need < 0").groupBy("u").agg(F.count("*").alias("long")), "long-columns")
+def _product(columns: DataFrame, hot: np.ndarray, percent: int) -> list[DataFrame]:
+    """Tables of pairs and memberships of the columns (h, rep, n), as ``_multiply_columns`` tells them.
 
-
-def _pairs(partial: DataFrame) -> DataFrame:
-    """Pairs that may share as many columns as they need."""
-    long = _long_columns(partial)
+    ``hot``: at most ``MOST_FREQUENT`` hashes. A long column among them gives its memberships right here.
+    """
+    rest, out = columns, []
+    if len(hot):
+        spark = columns.sparkSession
+        hashes = spark.createDataFrame(pa.table({"k": hot.view(np.int64)}))  # at most 8 MB
+        sizes = columns.join(F.broadcast(hashes), F.col("h") == F.col("k"), "left_semi").groupBy("h").agg(F.count("*").alias("size"))
+        long = F.broadcast(written(sizes.where(F.col("size") > SHORT).select(F.col("h").alias("k")), "hot-columns"))
+        rest = columns.join(long, F.col("h") == F.col("k"), "left_anti")
+        need = F.least(F.lit(SHARED), F.ceil(F.col("n") * percent / 100)).cast("int")
+        out.append(columns.join(long, F.col("h") == F.col("k"), "left_semi").select(F.col("rep").alias("u"), F.col("h").alias("v"), (-need).alias("need")))
+    dealt = rest.select("h", "rep", "n").repartition(shuffle_partitions(columns.sparkSession), "h").sortWithinPartitions("h", "n", "rep")
+    out.append(dealt.mapInArrow(_multiply_columns(percent), "u long, v long, need int"))
+    return [written(x, "partial") for x in out]
+
+
+def _pairs(partial: DataFrame, long: DataFrame) -> DataFrame:
+    """Pairs that may share as many columns as they need. ``long``: how many long columns each u has."""
     summed = partial.where("need > 0").groupBy("u", "v", "need").agg(F.count("*").alias("shared"))
     for side in ("u", "v"):
         summed = summed.join(long.select(F.col("u").alias(f"of_{side}"), F.col("long").alias(f"long_{side}")), F.col(side) == F.col(f"of_{side}"), "left")
@@ -172,26 +191,21 @@ def _pairs(partial: DataFrame) -> DataFrame:
     return summed.where(F.col("shared") + unseen >= F.col("need")).select("u", "v")
 
 
-def _stars(partial: DataFrame) -> DataFrame:
-    """Members of a long column that have enough long columns to link by them alone, each with the least."""
-    long = _long_columns(partial).select(F.col("u").alias("rep"), "long")
+def _stars(partial: DataFrame, long: DataFrame) -> list[DataFrame]:
+    """Members of a long column that have enough long columns to link by them alone, each with the least; and the tables read."""
+    long = long.withColumnRenamed("u", "rep")
     able = written(partial.where("need < 0").join(long, F.col("u") == F.col("rep")).where("long >= -need").select("rep", F.col("v").alias("h")), "long-members")
-    least = written(able.groupBy("h").agg(F.min("rep").alias("least")), "long-least").withColumnRenamed("h", "k")
-    return able.join(least, F.col("h") == F.col("k")).where("rep <> least").select(F.col("rep").alias("u"), F.col("least").alias("v")).distinct()
+    least = written(able.groupBy("h").agg(F.min("rep").alias("least")), "long-least")
+    named = least.withColumnRenamed("h", "k")
+    return [able.join(named, F.col("h") == F.col("k")).where("rep <> least").select(F.col("rep").alias("u"), F.col("least").alias("v")).distinct(), able, least]
 
 
-def _likely(rows: DataFrame, dealt: DataFrame) -> DataFrame:
-    """Rows that may be in a bundle, so that other texts are not shuffled.
-
-    The bitmap of hashed ids has ``MEMBER_BITS`` bits whatever the input, so its broadcast is bounded
-    by 2 MB; a fuller bitmap only lets more rows pass to the join that decides.
-    """
-    at = lambda c: F.pmod(F.xxhash64(c), F.lit(MEMBER_BITS))
-    bits = dealt.select(at("rep").alias("bit")).groupBy(F.floor(F.col("bit") / BITMAP_BITS).alias("bucket")).agg(F.bitmap_construct_agg(F.col("bit") % BITMAP_BITS).alias("bits"))
-    place = at("doc_id") % BITMAP_BITS
-    byte = F.conv(F.hex(F.substring("bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    near = rows.withColumns({"b": F.floor(at("doc_id") / BITMAP_BITS), "place": place}).join(F.broadcast(bits.withColumnRenamed("bucket", "k")), F.col("b") == F.col("k"))
-    return near.where((byte / F.pow(F.lit(2), F.col("place") % 8)).cast("int") % 2 == 1).select("doc_id", "t")
+def _same_ids(able: DataFrame, classes: DataFrame) -> DataFrame:
+    """Edges from an id to the representatives of its texts, for ids with texts of several classes."""
+    key = F.struct("n", "c1", "c2")
+    several = able.groupBy("doc_id").agg(F.min(key).alias("a"), F.max(key).alias("b")).where("a <> b").select(F.col("doc_id").alias("d"))
+    mine = able.join(several, F.col("doc_id") == F.col("d"), "left_semi").select("doc_id", "n", "c1", "c2")
+    return mine.join(classes, ["n", "c1", "c2"]).select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
 
 
 def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -277,41 +291,46 @@ def _multiply_blocks(percent: int, width: int):
 def ngram_join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
     """Per row: ``doc_id``, ``n_shingles`` and ``component_id`` (least id reachable by links).
 
-    A null or empty text has no shingles and links with nothing. Rows with one ``doc_id`` are one
-    node, whatever their texts; a row with a null id links with nothing and has a null component.
+    A null or empty text has no shingles and links with nothing: its component is its own id. Rows
+    with one ``doc_id`` are one node, whatever their texts; a row with a null id links with nothing
+    and has a null component. Other columns are not read, whatever their names; an empty table
+    gives an empty one. A text of any length is taken whole.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("t"))
-    frequent = frequent_shingles(rows, width)
+    frequent, totals = frequent_shingles(rows, width)
     signed = written(rows.mapInArrow(_signer(frequent, percent, width), "doc_id long, n long, c1 long, c2 long, first array<long>"), "signatures")
     able = signed.where("n > 0 and doc_id is not null")
     classes = written(able.groupBy("n", "c1", "c2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("m"), F.any_value("first").alias("first")), "classes")
     parts = shuffle_partitions(spark)
 
-    columns = classes.select(F.explode("first").alias("h"), "rep", "n").repartition(parts, "h").sortWithinPartitions("h", "n", "rep")
-    partial = written(columns.mapInArrow(_multiply_columns(percent), "u long, v long, need int"), "partial")
-    together = _pairs(partial).union(_stars(partial))
-    bundles = written(components(together).select(F.col("node").alias("rep"), F.col("component").alias("bundle")), "bundles")
+    tables = _product(classes.select(F.explode("first").alias("h"), "rep", "n"), frequent[totals >= HOT], percent)
+    partial = tables[0] if len(tables) == 1 else tables[0].union(tables[1])
+    long = written(partial.where("need < 0").groupBy("u").agg(F.count("*").alias("long")), "long-columns")
+    stars, *read = _stars(partial, long)
+    bundles = written(components(_pairs(partial, long).union(stars)).select(F.col("node").alias("rep"), F.col("component").alias("bundle")), "bundles")
+    forget(*tables, long, *read)
 
-    sizes = written(bundles.groupBy("bundle").agg(F.count("*").alias("size")), "bundle-sizes")
+    sized = bundles.join(classes.select(F.col("rep").alias("r"), "n"), F.col("rep") == F.col("r"))
+    sizes = written(sized.groupBy("bundle").agg(F.count("*").alias("size"), F.sum("n").alias("shingles")), "bundle-sizes")
     # Rows of a block: 96 in bundles of up to 2304, growing with the root of larger ones.
-    rows_of = F.least(F.lit(1024), F.greatest(F.lit(96), F.floor(2 * F.sqrt("size"))))
-    blocks = bundles.join(sizes, "bundle").withColumn("blocks", F.ceil(F.col("size") / rows_of).cast("int"))
+    rows_of = F.least(F.lit(BLOCK_ROWS), F.greatest(F.lit(96), F.floor(2 * F.sqrt("size"))))
+    count = F.greatest(F.ceil(F.col("size") / rows_of), F.least(F.ceil(F.col("shingles") / BLOCK_SHINGLES), F.col("size"))).cast("int")
+    blocks = bundles.join(sizes, "bundle").withColumn("blocks", count)
     dealt = blocks.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).select("rep", "bundle", "blocks", "own")
-    likely = _likely(rows, dealt)
-    members = likely.join(dealt, likely["doc_id"] == dealt["rep"]).select("bundle", "blocks", "own", "doc_id", "t")
+    near = likely(rows, "doc_id", dealt, "rep")
+    members = near.join(dealt, near["doc_id"] == dealt["rep"]).select("bundle", "blocks", "own", "doc_id", "t")
     paired = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tasks = paired.select("bundle", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "doc_id", "t")
     groups = tasks.repartition(parts, "bundle", "low", "high").sortWithinPartitions("bundle", "low", "high")
     links = groups.mapInArrow(_multiply_blocks(percent, width), "u long, v long")
-    reached = components(links)
+    reached = components(links.union(_same_ids(able, classes)))
 
-    # Only classes of several rows or with links are looked up; each is offered on every salt.
+    # Only classes of several rows or with links are looked up; Spark splits the rows of a large class.
     told = classes.join(reached, F.col("rep") == F.col("node"), "left").where("m > 1 or component is not null")
-    told = told.select(F.col("c1").alias("k1"), F.col("c2").alias("k2"), F.col("n").alias("kn"), F.coalesce("component", "rep").alias("component"))
-    spread = written(told, "told").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = signed.select("doc_id", "n", "c1", "c2").withColumn("s", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    out = salted.join(spread, (F.col("c1") == F.col("k1")) & (F.col("c2") == F.col("k2")) & (F.col("n") == F.col("kn")) & (F.col("s") == F.col("salt")), "left")
+    told = written(told.select(F.col("c1").alias("k1"), F.col("c2").alias("k2"), F.col("n").alias("kn"), F.coalesce("component", "rep").alias("component")), "told")
+    forget(bundles, sizes, classes)
+    out = signed.select("doc_id", "n", "c1", "c2").join(told, (F.col("c1") == F.col("k1")) & (F.col("c2") == F.col("k2")) & (F.col("n") == F.col("kn")), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 

@@ -1,30 +1,26 @@
-"""Sets of hashed word shingles of whole texts, by numpy over all bytes of a batch at once."""
+"""Sets of hashed word shingles of whole texts.
+
+Words are hashed by keyed SipHash over their bytes, each different word of a slice once, and a
+shingle's hash mixes its words' hashes in order; both have 64 bits.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
-from .common import bounded
+from .common import bounded, text_bytes
 
 #: Words are runs of anything but the six ASCII blanks; A-Z count as a-z.
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_CODE = np.random.default_rng(20_240_229).integers(1, 1 << 63, 256, dtype=np.int64).astype(np.uint64) | np.uint64(1)
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_POWERS: dict[str, np.ndarray] = {}
-
-
-def _powers(n: int, base: np.uint64, name: str) -> np.ndarray:
-    have = _POWERS.get(name)
-    if have is None or len(have) < n:
-        have = np.full(max(n, 1 << 16), base, np.uint64)
-        have[0] = 1
-        _POWERS[name] = have = np.multiply.accumulate(have)
-    return have[:n]
+#: A batch is hashed in slices of this many bytes, and so is a longer text.
+SLICE_BYTES = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -38,37 +34,47 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of all texts and where each begins and the last ends; a null has no bytes."""
-    texts = texts.cast(pa.large_string()).fill_null("")
-    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    data = texts.buffers()[2]
-    flat = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
-    return flat[offsets[0] : offsets[-1]], offsets - offsets[0]
+def _hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    from pandas.util import hash_array
+
+    low = pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(_LOWER[data]))
+    split = pc.ascii_split_whitespace(low)
+    coded = split.flatten().dictionary_encode()
+    known = hash_array(coded.dictionary.to_numpy(zero_copy_only=False), categorize=False).astype(np.uint64)
+    of = coded.indices.to_numpy(zero_copy_only=False)
+    real = (pc.binary_length(coded.dictionary).to_numpy() > 0)[of]  # a blank at either end of a text leaves an empty word
+    ends = np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64))
+    counts = np.diff(np.concatenate([[0], np.cumsum(real)])[ends], prepend=0)
+    return known[of[real]], counts
 
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words in order, and how many words each text has."""
-    data, offsets = _buffers(texts)
-    n = len(data)
-    if not n:
+    """Hashes of all words in order, and how many words each text has; a null has none."""
+    data, offsets = text_bytes(texts)
+    if not len(data):
         return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
-    letter = ~_BLANK[data]
-    first = np.zeros(n + 1, bool)  # a text begins here
-    first[offsets[:-1]] = True
-    start = letter & (np.concatenate([[True], ~letter[:-1]]) | first[:n])
-    after = np.concatenate([~letter[1:], [True]]) | first[1:]
-    begins, ends = np.flatnonzero(start), np.flatnonzero(letter & after) + 1
-    powers = _powers(n + 1, _BASE, "base")
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_CODE[_LOWER[data]] * powers[:n], dtype=np.uint64)])
-    hashes = (sums[ends] - sums[begins]) * _powers(n + 1, _INVERSE, "inverse")[begins]
-    hashes = mix(hashes + (ends - begins).astype(np.uint64))
-    counts = np.searchsorted(begins, offsets[1:]) - np.searchsorted(begins, offsets[:-1])
-    return hashes, counts.astype(np.int64)
-
-
-#: Hashing takes some fifty bytes for each byte of text, so a batch is hashed in slices of this size.
-SLICE_BYTES = 1 << 20
+    if len(data) <= SLICE_BYTES:
+        return _hashes(data, offsets)
+    hashes, counts = [], np.zeros(len(texts), np.int64)
+    for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+        while a < b:  # a long text is cut at blanks
+            end = min(b, a + SLICE_BYTES)
+            while end < b and not (blank := np.flatnonzero(_BLANK[data[end : min(b, end + SLICE_BYTES)]])).size:
+                end = min(b, end + SLICE_BYTES)
+            end = end if end >= b else end + int(blank[0])
+            some, n = _hashes(data[a:end], np.array([0, end - a], np.int64))
+            hashes.append(some)
+            counts[i] += n[0]
+            a = end
+    return np.concatenate(hashes), counts
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """The different values of ``x``, sorted; ``x`` itself is sorted meanwhile."""
+    x.sort()
+    new = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return x[new]
 
 
 def shingle_sets(texts: pa.Array, width: int = 4) -> list[np.ndarray]:
@@ -76,8 +82,14 @@ def shingle_sets(texts: pa.Array, width: int = 4) -> list[np.ndarray]:
 
     A text with fewer than ``width`` words has one shingle, its whole sequence; one without words has none.
     """
+    return [s for sets in each_shingle_sets(texts, width) for s in sets]
+
+
+def each_shingle_sets(texts: pa.Array, width: int) -> Iterator[list[np.ndarray]]:
+    """``shingle_sets`` in lists for slices of the texts."""
     batch = pa.RecordBatch.from_arrays([texts], names=["t"])
-    return [s for part in bounded(batch, 0, SLICE_BYTES) for s in _shingle_sets(part.column(0), width)]
+    for part in bounded(batch, 0, SLICE_BYTES):
+        yield _shingle_sets(part.column(0), width)
 
 
 def _shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
@@ -85,20 +97,20 @@ def _shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
     ends = np.cumsum(counts)
     begins = ends - counts
     out: list[np.ndarray] = []
-    if len(words) >= width:
-        grams = np.zeros(len(words) - width + 1, np.uint64)
+    grams = np.zeros(max(0, len(words) - width + 1), np.uint64)
+    for i in range(0, len(grams), SLICE_BYTES):
+        some = np.zeros(min(SLICE_BYTES, len(grams) - i), np.uint64)
         for k in range(width):
-            grams = mix(grams + words[k : len(words) - width + 1 + k])
-    else:
-        grams = np.zeros(0, np.uint64)
-    for a, b in zip(begins.tolist(), ends.tolist(), strict=True):
-        if b - a >= width:
-            out.append(np.unique(grams[a : b - width + 1]))
-        elif b > a:
-            short = np.array([b - a], np.uint64)
-            for k in range(a, b):
-                short = mix(short + words[k : k + 1])
-            out.append(short)
-        else:
-            out.append(np.zeros(0, np.uint64))
+            some = mix(some + words[i + k : i + k + len(some)])
+        grams[i : i + len(some)] = some
+    short = np.flatnonzero((counts > 0) & (counts < width))
+    whole = {}
+    for i in short.tolist():
+        x = np.array([counts[i]], np.uint64)
+        for k in range(begins[i], ends[i]):
+            x = mix(x + words[k : k + 1])
+        whole[i] = x
+    del words
+    for i, (a, b) in enumerate(zip(begins.tolist(), ends.tolist(), strict=True)):
+        out.append(_distinct(grams[a : b - width + 1]) if b - a >= width else whole.get(i, np.zeros(0, np.uint64)))
     return out
