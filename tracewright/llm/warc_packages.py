@@ -11,7 +11,6 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
-import io
 import json
 import struct
 import uuid
@@ -26,14 +25,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, shared_dir, shuffle_partitions, written
+from .common import bounded, release_memory, shared_dir, shuffle_partitions, written
 
 #: A writer begins a new package after this many bytes of payload.
 PACKAGE_BYTES = 32 << 20
 #: A reader asks for records that lie side by side in one range of up to this size.
 RANGE_BYTES = 4 << 20
-#: Rows of a payload's group are dealt over this many shuffle keys.
-SALTS = 16
 ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -179,25 +176,28 @@ def _page_id(value: str) -> int | None:
 def with_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """Append ``is_revisit`` and ``refers_to``: of equal payloads the largest ``page_id`` is kept whole.
 
-    Only payloads that occur more than once are joined back, and each on ``SALTS`` keys, so a payload
-    that a third of all pages share is neither gathered nor sent to one task. Repeated rows of the
-    largest page are responses both; a group of null page ids has no revisits.
+    Digests alone tell which pages are revisits; a payload that a third of all pages share is
+    neither gathered nor sent to one task, as Spark may split its digests. Pages then meet their
+    verdict by id and digest. Repeated rows of the largest page are responses both; a group of null
+    page ids has no revisits.
     """
     body = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
-    keyed = pages.withColumns({"digest": F.sha1(body), "bytes": F.length(body)})
-    groups = keyed.where(F.col("bytes") >= least_bytes).groupBy("digest").agg(F.max("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1 and first_id is not null")
-    spread = groups.select(F.col("digest").alias("d"), "first_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("s"))
-    salted = keyed.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).repartition(shuffle_partitions(pages.sparkSession), "digest", "salt")
-    joined = salted.join(spread, (F.col("digest") == F.col("d")) & (F.col("salt") == F.col("s")), "left")
-    revisit = F.coalesce(F.col("first_id") != F.coalesce("page_id", F.lit(-1) - F.col("first_id")), F.lit(False)) & (F.col("bytes") >= least_bytes)
-    return joined.select("page_id", "url", "html", revisit.alias("is_revisit"), F.when(revisit, F.col("first_id")).alias("refers_to"))
+    keyed = pages.withColumn("digest", F.unhex(F.sha1(body)))
+    marks = pages.select("page_id", F.unhex(F.sha1(body)).alias("d"), F.length(body).alias("bytes")).where(F.col("bytes") >= least_bytes)
+    groups = marks.groupBy("d").agg(F.max("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1 and first_id is not null")
+    found = marks.select(F.col("page_id").alias("p"), "d").join(groups.select(F.col("d").alias("g"), "first_id"), F.col("d") == F.col("g"))
+    again = written(found.where("p is null or p <> first_id").select("p", "d", "first_id").distinct(), "revisits")
+    joined = keyed.join(again, keyed["page_id"].eqNullSafe(again["p"]) & (keyed["digest"] == again["d"]), "left")
+    return joined.select("page_id", "url", "html", F.col("first_id").isNotNull().alias("is_revisit"), F.col("first_id").alias("refers_to"))
 
 
 def write_packages(pages: DataFrame, folder: str, *, least_bytes: int = 0, package_bytes: int = PACKAGE_BYTES) -> DataFrame:
     """Write a record per row and return the manifest: path, records and bytes of each package.
 
-    A null ``html`` is an empty payload, a null ``url`` becomes ``urn:page:<id>``. A retried task
-    writes under another name; only packages in the manifest count.
+    A null ``html`` is an empty payload, a null ``url`` becomes ``urn:page:<id>``. Records go to the
+    shared folder one by one, so a task holds one page's payload and the package's index. An empty
+    table makes no package; other columns of ``pages`` are not read. A retried task writes under
+    another name; only packages in the manifest count.
     """
     rows = with_revisits(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html"), least_bytes)
 
@@ -205,32 +205,28 @@ def write_packages(pages: DataFrame, folder: str, *, least_bytes: int = 0, packa
         fs, root = pafs.FileSystem.from_uri(folder)
         fs.create_dir(root, recursive=True)
         part, done = TaskContext.get().partitionId(), []
-        data, lines, payload_bytes = io.BytesIO(), [], 0
-
-        def close() -> None:
+        waiting = (row for whole in batches for batch in bounded(whole, 2) for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        row = next(waiting, None)
+        while row:
             path = f"{root}/pages-{part:06d}-{len(done):04d}-{uuid.uuid4().hex}.wacz"
+            lines, at, payload_bytes = [], 0, 0
             with fs.open_output_stream(path) as out:
                 with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
-                    z.writestr(ARCHIVE, data.getbuffer())
+                    with z.open(zipfile.ZipInfo(ARCHIVE), "w", force_zip64=True) as archive:
+                        while row and payload_bytes < package_bytes:
+                            page, url, html, again, refers = row
+                            payload = (html or "").encode()
+                            record = build_record(page, url, payload, refers, again)
+                            place = {"url": url, "filename": ARCHIVE, "offset": at, "length": len(record)}
+                            lines.append(f"urn:page:{page} 19700101000000 {json.dumps(place)}\n")
+                            archive.write(record)
+                            at, payload_bytes = at + len(record), payload_bytes + len(payload)
+                            row = next(waiting, None)
                     z.writestr(INDEX, "".join(lines))
                 done.append((path, len(lines), out.tell()))
-
-        for whole in batches:
-            for batch in bounded(whole, 2):
-                for page, url, html, again, refers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    payload = (html or "").encode()
-                    record = build_record(page, url, payload, refers, again)
-                    place = {"url": url, "filename": ARCHIVE, "offset": data.tell(), "length": len(record)}
-                    lines.append(f"urn:page:{page} 19700101000000 {json.dumps(place)}\n")
-                    data.write(record)
-                    payload_bytes += len(payload)
-                    if payload_bytes >= package_bytes:
-                        close()
-                        data, lines, payload_bytes = io.BytesIO(), [], 0
-        if lines:
-            close()
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*done, strict=True)], names=["path", "n_records", "n_bytes"])
+        release_memory()
 
     return written(rows.mapInArrow(run, "path string, n_records long, n_bytes long"), "warc-manifest")
 
