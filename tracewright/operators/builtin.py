@@ -99,8 +99,9 @@ class JSONParser(Parser):
         return out
 
 
-FRAME = re.compile(r'\s*File "(?P<file>[^"]+)", line (?P<line>\d+)(?:, in (?P<function>.+))?')
-RAISED = re.compile(r"(?P<type>[\w.]+)(?:: ?(?P<message>.*))?")
+#: The forms of a frame's place and of the line that names the exception.
+FRAME = re.compile(r'^\s*File "(?P<file>.+)", line (?P<line>\d+), in (?P<function>.+)$')
+RAISED = re.compile(r"^(?P<exception_type>[\w.]+)(?:: (?P<message>.*))?$")
 
 
 class PythonTracebackParser(Parser):
@@ -111,28 +112,31 @@ class PythonTracebackParser(Parser):
 
     def parse_text(self, text: Any, context: Context) -> Parsed:
         text = decode_source(text, self.name)
-        frames, raised, line_of = [], None, None
-        for number, (line, _) in enumerate(frame(text), 1):
-            if m := FRAME.fullmatch(line):
+        frames, raised = [], None
+        for line, _ in frame(text):
+            if m := FRAME.match(line):
                 frames.append({"file": m["file"], "line": int(m["line"]), "function": m["function"]})
-            elif not line.strip().startswith("Traceback ") and (m := RAISED.fullmatch(line.strip())):
-                raised, line_of = m, number
+            elif not line.strip().startswith("Traceback ") and (m := RAISED.match(line.strip())):
+                raised = m
         if raised is None:
             raise ParseError("no exception in the traceback")
-        attributes = {"exception_type": raised["type"], "message": raised["message"] or "", "frames": frames}
+        attributes = {"exception_type": raised["exception_type"], "message": raised["message"] or "", "frames": frames}
         end = context.base + len(text.encode())
-        return Parsed([Event("python_exception", attributes, severity="ERROR", line=line_of, start=context.base, end=end, pattern="python_exception")], statistics={"python_exception": 1})
+        return Parsed([Event("python_exception", attributes, severity="ERROR", line=1, start=context.base, end=end, pattern="python_exception")], statistics={"python_exception": 1})
 
 
 def traceback_frames(lines: DataFrame) -> DataFrame:
     """Per source: exception_type, message and frames in order, by Catalyst expressions over a lines table."""
-    place = r'^\s*File "([^"]+)", line (\d+)(?:, in (.+))?$'
-    t = F.trim("text")
-    named = (F.length(F.regexp_extract("text", place, 1)) == 0) & ~t.startswith("Traceback ") & t.rlike(r"^[\w.]+(?:: ?.*)?$")
-    frame_of = F.when(F.length(F.regexp_extract("text", place, 1)) > 0, F.struct("line_number", F.regexp_extract("text", place, 1).alias("file"), F.regexp_extract("text", place, 2).cast("int").alias("line"), F.regexp_extract("text", place, 3).alias("function")))
-    rows = lines.withColumns({"frame": frame_of, "named": F.when(named, t)})
+    blank = r"(?U:[\s\x1c-\x1f])"
+    place = rf'^{blank}*File "(.+)", line (\p{{Nd}}+), in (.+)$'
+    raised = r"^([\p{L}\p{N}_.]+)(?:: (.*))?$"
+    t = F.regexp_replace("text", rf"^{blank}+|{blank}+$", "")
+    is_place = F.col("text").rlike(place)
+    part = lambda k: F.regexp_extract("text", place, k)
+    found = F.when(is_place, F.struct("line_number", part(1).alias("file"), part(2).cast("int").alias("line"), part(3).alias("function")))
+    rows = lines.withColumns({"frame": found, "named": F.when(~is_place & ~t.startswith("Traceback ") & t.rlike(raised), t)})
     grouped = rows.groupBy("source_id").agg(F.array_sort(F.collect_list("frame")).alias("frames"), F.max_by("named", F.when(F.col("named").isNotNull(), F.col("line_number"))).alias("raised"))
-    return grouped.where("raised is not null").select("source_id", F.regexp_extract("raised", r"^([\w.]+)", 1).alias("exception_type"), F.regexp_extract("raised", r"^[\w.]+: ?(.*)$", 1).alias("message"), F.col("frames"))
+    return grouped.where("raised is not null").select("source_id", F.regexp_extract("raised", raised, 1).alias("exception_type"), F.regexp_extract("raised", raised, 2).alias("message"), F.col("frames"))
 
 
 # -- Command output --------------------------------------------------------------------------

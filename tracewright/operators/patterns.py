@@ -205,15 +205,15 @@ def pattern_statistics(events: DataFrame, sources: DataFrame, names: list[str])
     return joined.select("source_id", "pattern_name", F.coalesce("n", F.lit(0)).cast("bigint").alias("matches"))
 
 
-#: Words of the failure signals, with priority and severity.
+#: Phrases of the failure signals, with priority and severity.
 SIGNALS = {
-    "service_down": (r"service\s+down|service\s+stopped|unavailable", 20, "ERROR"),
-    "connection_failure": (r"connection\s+refused|connection\s+reset|connect\s+failed", 20, "ERROR"),
-    "authentication_failure": (r"authentication\s+failed|invalid\s+credentials|login\s+failed", 20, "ERROR"),
-    "authorization_failure": (r"authorization\s+failed|permission\s+denied|forbidden", 20, "ERROR"),
-    "timeout": (r"timeout|timed\s+out", 15, "ERROR"),
-    "oom": (r"oom|out\s+of\s+memory", 15, "CRITICAL"),
-    "retry": (r"retry|retrying|attempt\s+\d+", 10, None),
+    "service_down": ("service down|service stopped|unavailable", 20, "ERROR"),
+    "connection_failure": ("connection refused|connection reset|connect failed", 20, "ERROR"),
+    "authentication_failure": ("authentication failed|invalid credentials|login failed", 20, "ERROR"),
+    "authorization_failure": ("authorization failed|permission denied|forbidden", 20, "ERROR"),
+    "timeout": ("timeout|timed out", 15, "ERROR"),
+    "oom": ("OOM|out of memory", 15, "CRITICAL"),
+    "retry": (r"retry|retrying|attempt \d+", 10, None),
 }
 TRACEBACK_HEAD = "Traceback (most recent call last):"
 #: Java's classes that match the same characters as Python's.

@@ -12,7 +12,7 @@ from tracewright.operators import counts, evidence, spans
 from tracewright.operators.builtin import LEVELS, CLIOutputParser, JSONParser, PythonTracebackParser, SQLStatementParser, TimestampedLogParser, traceback_frames
 from tracewright.operators.mixed import MixedContentParser
 from tracewright.operators.parsing import canonicalize, parse_documents
-from tracewright.operators.patterns import SIGNALS, ApplicationLogParser, ExactPattern, PatternParser, PredicatePattern, RegexPattern, StructuredPattern, pattern_statistics
+from tracewright.operators.patterns import ApplicationLogParser, ExactPattern, PatternParser, PredicatePattern, RegexPattern, StructuredPattern, pattern_statistics
 from tracewright.plans import codecs
 from tracewright.plans.review import claim_faults
 from tracewright.sources.lines import frame_lines, frame_lines_native, line_widths
@@ -80,7 +80,12 @@ LOG = f"""ev AS (SELECT concat((user_id % 50)::VARCHAR, '-', (event_id // {SPAN}
 nr AS (SELECT *, iso || ' ' || level || ' ' || said AS text, row_number() OVER (PARTITION BY source_id ORDER BY event_id) AS line_number, count(*) OVER (PARTITION BY source_id) AS n FROM ev),
 wd AS (SELECT *, strlen(text) + CASE WHEN line_number < n THEN 1 ELSE 0 END AS w FROM nr),
 lg AS (SELECT source_id, line_number::BIGINT AS line_number, text, level, said, iso, ts, (sum(w) OVER o - w)::BIGINT AS start_offset, (sum(w) OVER o)::BIGINT AS end_offset FROM wd WINDOW o AS (PARTITION BY source_id ORDER BY line_number))"""
-_SIGNALS = ", ".join(f"('{k}', '(?i)\\b(?:{w})\\b', {p}, {'NULL' if s is None else repr(s)})" for k, (w, p, s) in SIGNALS.items())
+#: Written out, not taken from the operator, so that the comparison can tell a wrong phrase.
+_SIGNALS = r"""('service_down', '(?i)\b(?:service down|service stopped|unavailable)\b', 20, 'ERROR'),
+  ('connection_failure', '(?i)\b(?:connection refused|connection reset|connect failed)\b', 20, 'ERROR'),
+  ('authentication_failure', '(?i)\b(?:authentication failed|invalid credentials|login failed)\b', 20, 'ERROR'),
+  ('authorization_failure', '(?i)\b(?:authorization failed|permission denied|forbidden)\b', 20, 'ERROR'),
+  ('timeout', '(?i)\b(?:timeout|timed out)\b', 15, 'ERROR'), ('oom', '(?i)\b(?:oom|out of memory)\b', 15, 'CRITICAL'), ('retry', '(?i)\b(?:retry|retrying|attempt [0-9]+)\b', 10, NULL)"""
 SIG = f"""{LOG}, sg(name, re, priority, severity) AS (VALUES {_SIGNALS}, ('error', '(?i)\\bERROR\\b', 5, 'ERROR'), ('warning', '(?i)\\bWARN(?:ING)?\\b', 5, 'WARNING')),
 hit AS (SELECT lg.*, name, priority, severity, CASE name WHEN 'error' THEN regexp_extract(text, '(?i)\\bERROR\\b[: ]?\\s*(.*)', 1) WHEN 'warning' THEN regexp_extract(text, '(?i)\\bWARN(?:ING)?\\b[: ]?\\s*(.*)', 1) ELSE text END AS message
   FROM lg JOIN sg ON regexp_matches(text, re)),
@@ -168,6 +173,16 @@ def app_log_events(spark, sf):
     return flat(signals(spark, sf))
 
 
+@query("""SELECT event_id::VARCHAR AS source_id, CASE event_id % 8 WHEN 0 THEN 'service_down' WHEN 1 THEN 'oom' WHEN 2 THEN 'retry' END AS event_type,
+  CASE event_id % 8 WHEN 0 THEN 'ERROR' WHEN 1 THEN 'CRITICAL' END AS severity FROM events WHERE event_id % 8 < 3""")
+def signal_phrases(spark, sf):
+    """Phrases with other blanks than one space between their words are none."""
+    said = ["service down", "out of memory", "attempt 3", "service  down", "out\tof  memory", "attempt   3", "permission\u00a0denied", "retried"]
+    e = table(spark, sf, "events")
+    docs = e.select(F.col("event_id").cast("string").alias("source_id"), F.element_at(F.array(*map(F.lit, said)), (F.col("event_id") % 8 + 1).cast("int")).alias("text"))
+    return parse_documents(docs, ApplicationLogParser()).events.select("source_id", "event_type", "severity")
+
+
 @query(f"WITH {SIG} SELECT name AS event_type, '{{}}' AS key_attributes_json, count(*)::BIGINT AS \"count\" FROM hit GROUP BY 1")
 def app_log_counts(spark, sf):
     return counts.count_events(signals(spark, sf)).select("event_type", "key_attributes_json", "count")
@@ -200,11 +215,19 @@ def traceback_frames_query(spark, sf):
     return traceback_frames(frame_lines(docs)).select("source_id", "exception_type", "message", F.size("frames").cast("bigint").alias("n_frames"), F.element_at("frames", -1).getField("line").cast("bigint").alias("last_line"))
 
 
-@query()
+@query("""SELECT event_id::VARCHAR AS source_id, 'KeyError' AS exception_type, CASE event_id % 3 WHEN 0 THEN user_id::VARCHAR ELSE '' END AS message, 1::BIGINT AS line_number,
+  CASE event_id % 3 WHEN 2 THEN 0 ELSE 1 END::BIGINT AS n_frames, 'ERROR' AS severity FROM events WHERE event_type = 'error'""")
 def traceback_parser(spark, sf):
+    """A line without ``, in`` is no frame, and a type that a colon follows without a space names no exception."""
     e = table(spark, sf, "events").where("event_type = 'error'")
-    docs = e.select(F.col("event_id").cast("string").alias("source_id"), F.concat(F.lit('  File "a.py", line 1, in f\nKeyError: '), F.col("user_id").cast("string")).alias("text"))
-    return flat(parse_documents(docs, PythonTracebackParser()).events)
+    kind = F.col("event_id") % 3
+    raised = F.when(kind == 0, F.concat(F.lit("KeyError: "), F.col("user_id").cast("string"))).otherwise(F.lit("KeyError\nValueError:x"))
+    place = F.when(kind == 2, F.lit("")).otherwise(F.lit(", in f"))
+    docs = e.select(F.col("event_id").cast("string").alias("source_id"), F.concat(F.lit('  File "a "b".py", line 1'), place, F.lit("\n"), raised).alias("text"))
+    events = parse_documents(docs, PythonTracebackParser()).events
+    read = lambda name: F.get_json_object("attributes_json", f"$.{name}")
+    frames = F.coalesce(F.json_array_length(read("frames")), F.lit(0)).cast("bigint")
+    return events.select("source_id", read("exception_type").alias("exception_type"), read("message").alias("message"), F.col("evidence.line_number").alias("line_number"), frames.alias("n_frames"), "severity")
 
 
 @query("SELECT event_id::VARCHAR AS source_id, event_type AS kind, user_id::VARCHAR AS \"user\" FROM events")
@@ -319,7 +342,8 @@ def mixed_routed_logs(spark, sf):
     return flat(events).select("source_id", "line_number", "event_type", "message", "severity")
 
 
-@query()
+@query("""SELECT event_type, line_number::BIGINT AS line_number, parser_name, (SELECT count(*) FROM orders)::BIGINT AS n FROM (VALUES ('log', 1, 'timestamped-log'), ('json_record', 2, 'json'), ('other', 4, 'mixed-content'),
+  ('fence', 5, 'mixed-content'), ('connection_failure', 6, 'application-log'), ('fence', 7, 'mixed-content'), ('code', 8, 'mixed-content'), ('code', 9, 'mixed-content')) AS v(event_type, line_number, parser_name) WHERE (SELECT count(*) FROM orders) > 0""")
 def mixed_content(spark, sf):
     """Fenced code, JSON, notes and logs in one document per order."""
     o = table(spark, sf, "orders")
