@@ -97,13 +97,18 @@ def checked(value: Any, max_depth: int = MAX_DEPTH) -> Any:
     return value
 
 
+#: Encoders are made once; ``json.dumps`` would make one for each value.
+_SORTED = json.JSONEncoder(ensure_ascii=False, sort_keys=True, separators=(",", ":"), allow_nan=False)
+_UNSORTED = json.JSONEncoder(ensure_ascii=False, separators=(",", ":"), allow_nan=False)
+
+
 def canonical(value: Any) -> str:
     """Compact, names sorted at every level, non-ASCII as it is."""
-    return json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"), allow_nan=False)
+    return _SORTED.encode(value)
 
 
 def compact(value: Any) -> str:
-    return json.dumps(value, ensure_ascii=False, separators=(",", ":"), allow_nan=False)
+    return _UNSORTED.encode(value)
 
 
 def repaired(text: str) -> str:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import traceback as tb
 from collections.abc import Iterator
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
 from datetime import UTC, datetime
 from typing import Any
 
@@ -61,6 +61,13 @@ class Event:
         if None not in (self.start, self.end) and self.end < self.start:
             raise ValueError("a span ends before it starts")
 
+    def relabelled(self, **names: str | None) -> Event:
+        """A copy with other names in it; names are not checked, so the checks of a new event are spared."""
+        out = object.__new__(Event)
+        for slot in Event.__slots__:
+            object.__setattr__(out, slot, names[slot] if slot in names else getattr(self, slot))
+        return out
+
     def evidence(self) -> dict[str, Any]:
         return {
             "source_id": self.source_id, "start_offset": self.start, "end_offset": self.end, "line_number": self.line, "parser_name": self.parser_name,
@@ -109,7 +116,7 @@ class Parser:
 
     def with_identity(self, e: Event, context: Context) -> Event:
         """Fill what the event does not say about its origin; empty text counts as missing."""
-        return replace(e, source_id=e.source_id or context.source_id, partition_id=e.partition_id or context.partition_id, correlation_id=e.correlation_id or context.correlation_id, parser_name=e.parser_name or self.name, parser_version=e.parser_version or self.version)
+        return e.relabelled(source_id=e.source_id or context.source_id, partition_id=e.partition_id or context.partition_id, correlation_id=e.correlation_id or context.correlation_id, parser_name=e.parser_name or self.name, parser_version=e.parser_version or self.version)
 
 
 def parse_documents(df: DataFrame, parser: Parser, *, continue_on_error: bool = False, event_types: set[str] | None = None) -> Parsing:
@@ -119,7 +126,7 @@ def parse_documents(df: DataFrame, parser: Parser, *, continue_on_error: bool =
     ``event_types`` drops other events on the workers, as Catalyst cannot push filters through them.
     """
     given = F.col("input_index").cast("bigint") if "input_index" in df.columns else F.monotonically_increasing_id()
-    docs = df.withColumn("__index", given).select(*_inputs(df), "__index")
+    docs = spread(df.withColumn("__index", given).select(*_inputs(df), "__index"))
     schema = f"kind string, {EVENTS}, result struct<{_as_struct(RESULTS)}>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,6 +154,20 @@ def parse_documents(df: DataFrame, parser: Parser, *, continue_on_error: bool =
     return Parsing(docs.mapInArrow(run, schema))
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """``docs`` in at least as many partitions as there are cores, if its plan is a scan alone.
+
+    A scan cuts files by their bytes, so a file of very many short documents would be parsed by one task.
+    """
+    if docs.isStreaming:
+        return docs
+    plan = docs._jdf.queryExecution().executedPlan()
+    if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec":  # it shuffles, and running it would tell no more
+        return docs
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores) if plan.execute().getNumPartitions() < cores else docs
+
+
 def _inputs(df: DataFrame) -> list[Column]:
     text = F.col("text") if "text" in df.columns else F.col("content")
     rest = {"correlation_id": "string", "partition_id": "string", "source_offset": "bigint"}
@@ -171,34 +192,50 @@ def _as_struct(columns: str) -> str:
 
 
 class _EventBatch:
-    """Rows on their way out of a worker: events, and a result after its events."""
+    """Rows on their way out of a worker, column by column: events, and a result after its events."""
 
     LIMIT = 5000
 
     def __init__(self) -> None:
-        self.rows: list[dict[str, Any]] = []
+        self.columns: list[list[Any]] = [[] for _ in _ARROW.names]
+        self.evidence: list[list[Any]] = [[] for _ in EVIDENCE_FIELDS]
+
+    @property
+    def rows(self) -> int:
+        return len(self.columns[0])
 
     @property
     def full(self) -> bool:
-        return len(self.rows) >= self.LIMIT
+        return self.rows >= self.LIMIT
+
+    def _add(self, row: tuple, evidence: tuple) -> None:
+        for column, x in zip(self.columns, row, strict=True):
+            column.append(x)
+        for column, x in zip(self.evidence, evidence, strict=True):
+            column.append(x)
 
     def event(self, source: str | None, index: int, seq: int, e: Event) -> None:
-        message = message_of(e.attributes)
-        self.rows.append({
-            "kind": "event", "source_id": source, "input_index": index, "seq": seq, "event_type": e.event_type, "attributes_json": compact(e.attributes),
-            "ts": e.timestamp.astimezone(UTC) if e.timestamp else None, "timestamp_iso": e.timestamp.isoformat() if e.timestamp else None, "severity": e.severity,
-            "confidence": None if e.confidence is None else float(e.confidence), "evidence": e.evidence(), "message_json": canonical(message), "canonical": canonical(e.record()), "result": None,
-        })
+        record = e.record()
+        told = tuple(record["evidence"].values())
+        at = e.timestamp.astimezone(UTC) if e.timestamp else None
+        confidence = None if e.confidence is None else float(e.confidence)
+        self._add(("event", source, index, seq, e.event_type, compact(e.attributes), at, record["timestamp"], e.severity, confidence, True, canonical(message_of(e.attributes)), canonical(record), None), told)
 
     def result(self, source: str | None, index: int, parser: Parser, correlation: str | None, p: Parsed) -> None:
         statistics = [{"pattern_name": k, "matches": v} for k, v in sorted(p.statistics.items())]
         result = {"source_id": source, "input_index": index, "parser_name": parser.name, "parser_version": parser.version, "correlation_id": correlation, "warnings": p.warnings, "errors": p.errors, "pattern_statistics": statistics, "llm_result": None}
-        self.rows.append({"kind": "result", "source_id": source, "input_index": index, "result": result})
+        self._add(("result", source, index, *[None] * (len(_ARROW.names) - 4), result), (None,) * len(EVIDENCE_FIELDS))
 
     def batch(self) -> pa.RecordBatch:
-        made = pa.RecordBatch.from_pylist(self.rows, schema=_ARROW)
-        self.rows = []
-        return made
+        arrays = []
+        for f, column in zip(_ARROW, self.columns, strict=True):
+            if f.name == "evidence":
+                parts = [pa.array(x, k.type) for x, k in zip(self.evidence, _EVIDENCE_ARROW, strict=True)]
+                arrays.append(pa.StructArray.from_arrays(parts, fields=list(_EVIDENCE_ARROW), mask=pa.array([x is None for x in column])))
+            else:
+                arrays.append(pa.array(column, f.type))
+        self.__init__()
+        return pa.RecordBatch.from_arrays(arrays, schema=_ARROW)
 
 
 _EVIDENCE_ARROW = pa.struct([(n, pa.int64() if n in ("start_offset", "end_offset", "line_number") else pa.string()) for n in EVIDENCE_FIELDS])
