@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from tracewright.errors import AggregationError, CapabilityError
 from tracewright.operators.parsing import EVENT_COLUMNS
+from tracewright.sources.tables import written
 
 KEY = ["source_id", "event_type", "parser_name"]
 
@@ -96,7 +97,11 @@ def differences(stored: DataFrame, rebuilt: DataFrame) -> DataFrame:
 
 
 def rebuild(aggregates: DataFrame, events: DataFrame) -> DataFrame:
-    """Events parsed again, once they are shown to be exactly those the aggregates stand for."""
+    """Events parsed again, once they are shown to be exactly those the aggregates stand for.
+
+    They are parsed once and kept as a table in the shared folder, which the comparison and the reader share.
+    """
+    events = written(events, "rebuilt")
     faults = differences(aggregates, aggregate_evidence(events)).limit(5).collect()
     if faults:
         raise AggregationError("the events do not match: " + "; ".join(f"{r.source_id}/{r.event_type}/{r.parser_name} {r.fault}" for r in faults))
