@@ -300,10 +300,16 @@ def uncovered_lines(spark, sf):
     return spans.uncovered_lines(lines, ApplicationLogParser().native(lines)).select("source_id", "line_number")
 
 
-@query("SELECT doc_id, strlen(text)::BIGINT AS input_bytes, strlen(text[:100])::BIGINT AS output_bytes, (strlen(text) - strlen(text[:100]))::BIGINT AS saved_bytes, ceil(strlen(text) / 4.0)::BIGINT AS input_tokens FROM documents")
+@query(f"""WITH {ENTRIES}, ev2 AS (SELECT source_id, event_type, severity, sum(occurrences) AS n, sum(strlen(concat('{{"message":', message_json, ',"occurrences":', occurrences, ',"positions":[', positions, ']}}')) + 1) - 1 AS w FROM en GROUP BY 1, 2, 3),
+ag AS (SELECT source_id, sum(strlen(concat('{{"source_id":"', source_id, '","event_type":"', event_type, '","parser_name":"application-log","parser_version":"1","count":', n, ',"events_sha256":"', repeat('0', 64),
+  '","groups":[{{"pattern":"', event_type, '","severity":', CASE WHEN severity IS NULL THEN 'null' ELSE '"' || severity || '"' END, ',"evidence":[]}}]}}')) + w + 1) - 1 + strlen('{{"format":"{codecs.FORMAT}","aggregates":[]}}') AS output_bytes FROM ev2 GROUP BY 1),
+sz AS (SELECT source_id, max(end_offset)::BIGINT AS input_bytes FROM lg GROUP BY 1)
+SELECT source_id, input_bytes, output_bytes::BIGINT AS output_bytes, (input_bytes - output_bytes)::BIGINT AS saved_bytes, ceil(input_bytes / 4.0)::BIGINT AS input_tokens FROM sz JOIN ag USING (source_id)""")
 def compression_metrics(spark, sf):
-    d = table(spark, sf, "documents")
-    return d.select("doc_id", compression(F.col("text"), F.substring("text", 1, 100)).alias("m")).select("doc_id", "m.input_bytes", "m.output_bytes", "m.saved_bytes", "m.input_tokens")
+    """Each log against the document that its aggregates are stored as."""
+    kept = codecs.encode_aggregates(stored(spark, sf)).withColumnRenamed("source_id", "s")
+    both = log_corpus(spark, sf).join(kept, F.col("source_id") == F.col("s"))
+    return both.select("source_id", compression(F.col("text"), F.col("document")).alias("m")).select("source_id", "m.input_bytes", "m.output_bytes", "m.saved_bytes", "m.input_tokens")
 
 
 @query("SELECT source, count(*)::BIGINT AS n, sum(ceil(strlen(text) / 4.0))::BIGINT AS n_tokens FROM documents GROUP BY 1")
