@@ -129,3 +129,28 @@ def test_compression(spark):
     assert (r[0].m.input_bytes, r[0].m.saved_bytes, r[0].t, r[0].m.saved_tokens) == (24, 23, 6, 5)
     assert r[1].m.saved_bytes == -3 and r[1].m.saved_bytes_percent is None and r[2].m.input_bytes is None
     assert Context().base == 0
+
+
+def test_aggregators_keep_their_contract_and_are_routed_to(spark):
+    from tracewright.errors import CapabilityError, ConfigurationError
+    from tracewright.operators import aggregators as ag
+    from tracewright.operators.builtin import TimestampedLogParser
+    from tracewright.operators.parsing import parse_documents
+    from tracewright.operators.patterns import ApplicationLogParser
+    from tracewright.plans.contracts import check_aggregator
+
+    docs = spark.createDataFrame([(f"s{i}", f"2031-02-03T04:05:0{i}+00:00 ERROR pump timeout\n2031-02-03T04:05:0{i}+00:00 INFO on") for i in range(3)], "source_id string, text string")
+    logs, signals = (parse_documents(docs, p).events.cache() for p in (TimestampedLogParser(), ApplicationLogParser()))
+    for a in (ag.CountAggregator(["level"]), ag.EvidenceAggregator(), ag.EvidenceAggregator(False)):
+        check_aggregator(a, logs)
+    routing = ag.RoutingAggregator(ag.EvidenceAggregator(), {"timestamped-log": ag.EvidenceAggregator(False)})
+    both = logs.unionByName(signals)
+    kept = routing.aggregate(both)
+    assert routing.lossless and routing.requires_source and {r: t.select("parser_name").distinct().collect()[0][0] for r, t in kept.items()} == {None: "application-log", "timestamped-log": "timestamped-log"}
+    texts = lambda df: sorted(r.canonical for r in df.select("canonical").collect())
+    assert texts(routing.materialize(kept, both)) == texts(both)
+    for wrong in (lambda: routing.materialize(kept), lambda: ag.CountAggregator().materialize(logs)):
+        with pytest.raises(CapabilityError):
+            wrong()
+    with pytest.raises(ConfigurationError):
+        ag.RoutingAggregator(ag.CountAggregator(), {"x": "count"})

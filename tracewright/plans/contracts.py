@@ -8,10 +8,11 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.errors import ConfigurationError
+from tracewright.errors import CapabilityError, ConfigurationError
 from tracewright.functions.strict_json import checked, loads
 from tracewright.functions.text import frame
 from tracewright.operators import evidence
+from tracewright.operators.aggregators import Aggregator
 from tracewright.operators.code_detection import CodeDetector
 from tracewright.operators.parsing import Context, Parser, parse_documents
 from tracewright.operators.patterns import Match, Pattern
@@ -57,6 +58,23 @@ def check_aggregation(spark: SparkSession, parser: Parser, texts: list[str]) ->
     _must(kept.where(evidence.occurrences(F.col("groups")) != F.col("count")).count() == 0, "entries do not add up to the counts")
 
 
+def check_aggregator(aggregator: Aggregator, events: DataFrame) -> None:
+    """Partial aggregates merge into the whole one, whatever their order."""
+    rows = lambda df: sorted(map(str, df.collect()))
+    whole = rows(aggregator.aggregate(events))
+    parts = [aggregator.aggregate(events.where(F.pmod(F.xxhash64("source_id"), F.lit(2)) == k)) for k in (0, 1)]
+    _must(rows(aggregator.merge(parts)) == whole and rows(aggregator.merge(parts[::-1])) == whole, "merged partial aggregates are not those of all events")
+    if not aggregator.lossless:
+        try:
+            aggregator.materialize(aggregator.aggregate(events), events)
+        except CapabilityError:
+            return
+        raise AssertionError("a lossy aggregator materializes")
+    given = events if aggregator.requires_source else None
+    texts = lambda df: sorted(r.canonical for r in df.select("canonical").collect())
+    _must(texts(aggregator.materialize(aggregator.aggregate(events), given)) == texts(events), "materialized events are not those aggregated")
+
+
 def check_codec(codec: AggregateCodec, aggregates: DataFrame) -> None:
     rows = [r.asDict(True) for r in aggregates.collect()]
     _must(codec.decode(codec.encode(rows)) == rows, "the codec does not give back what it was given")

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.functions.sizes import approximate_tokens, compression
-from tracewright.operators import counts, evidence, spans
+from tracewright.operators import aggregators, counts, evidence, spans
 from tracewright.operators.builtin import LEVELS, CLIOutputParser, JSONParser, PythonTracebackParser, SQLStatementParser, TimestampedLogParser, traceback_frames
 from tracewright.operators.mixed import MixedContentParser
 from tracewright.operators.parsing import canonicalize, parse_documents
@@ -267,6 +268,27 @@ def routing_aggregate(spark, sf):
     return routed.groupBy("parser_name", "event_type").agg(F.sum("count").alias("n"), F.bool_or(evidence.retains_events(F.col("groups"))).alias("retained"))
 
 
+@query(f"""WITH {SIG} SELECT source_id, name AS event_type, max(length(message))::BIGINT AS "value" FROM hit GROUP BY 1, 2
+UNION ALL SELECT source_id, 'log', max(line_number)::BIGINT FROM lg GROUP BY 1""")
+def routed_aggregators(spark, sf):
+    """Events of two parsers, each by a user's aggregator, as partial aggregates that are merged."""
+
+    class Most(aggregators.Aggregator):
+        def __init__(self, column):
+            self.column = column
+
+        def aggregate(self, events):
+            return events.groupBy("source_id", "event_type").agg(F.max(self.column).cast("bigint").alias("value"))
+
+        def merge(self, partials):
+            return reduce(DataFrame.unionByName, partials).groupBy("source_id", "event_type").agg(F.max("value").alias("value"))
+
+    routing = aggregators.RoutingAggregator(Most(F.length(F.get_json_object("attributes_json", "$.message"))), {"timestamped-log": Most(F.col("evidence.line_number"))})
+    both = signals(spark, sf).unionByName(logs(spark, sf))
+    halves = [routing.aggregate(both.where(F.col("evidence.line_number") % 2 == k)) for k in (0, 1)]
+    return reduce(DataFrame.unionByName, routing.merge(halves).values())
+
+
 @query(f"WITH {SIG} SELECT count(DISTINCT (source_id, name))::BIGINT AS n_aggregates, count(*)::BIGINT AS n_events FROM hit")
 def merge_evidence(spark, sf):
     a = stored(spark, sf)
