@@ -64,26 +64,44 @@ class LinePartitioner:
             capabilities.require_framing(self.framing)
         most_lines, most_bytes = self.max_lines, self.max_bytes
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str | None, Part]]:
             for batch in batches:
                 for source, text, offset in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     for p in pack_records((line for line, _ in frame(text or "")), most_lines, most_bytes, offset or 0):
-                        yield pa.RecordBatch.from_arrays([pa.array([source], pa.string()), pa.array([str(p.number)]), pa.array([p.start_line], pa.int64()), pa.array([p.start_offset], pa.int64()), pa.array([p.text], pa.string())], names=["source_id", "partition_id", "start_line", "source_offset", "text"])
+                        yield source, p
 
-        return documents(df).select("source_id", "text", "source_offset").mapInArrow(run, PARTITIONS)
+        return documents(df).select("source_id", "text", "source_offset").mapInArrow(lambda batches: _batched(run(batches)), PARTITIONS)
 
 
 def partition_by(df: DataFrame, split: Callable[[str], Iterator[Part]]) -> DataFrame:
     """Partitions by a user's function from a document's text to parts."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str | None, Part]]:
         for batch in batches:
             for source, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                parts = list(split(text or ""))
-                if parts:
-                    yield pa.RecordBatch.from_arrays([pa.array([source] * len(parts), pa.string()), pa.array([str(p.number) for p in parts]), pa.array([p.start_line for p in parts], pa.int64()), pa.array([p.start_offset for p in parts], pa.int64()), pa.array([p.text for p in parts], pa.string())], names=["source_id", "partition_id", "start_line", "source_offset", "text"])
+                for p in split(text or ""):
+                    yield source, p
 
-    return documents(df).select("source_id", "text").mapInArrow(run, PARTITIONS)
+    return documents(df).select("source_id", "text").mapInArrow(lambda batches: _batched(run(batches)), PARTITIONS)
+
+
+def _batched(parts: Iterator[tuple[str | None, Part]], most_rows: int = 5000, most_chars: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Rows of parts in record batches of bounded size."""
+    held, chars = [], 0
+
+    def batch() -> pa.RecordBatch:
+        columns = zip(*((s, str(p.number), p.start_line, p.start_offset, p.text) for s, p in held), strict=True)
+        kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["source_id", "partition_id", "start_line", "source_offset", "text"])
+
+    for source, p in parts:
+        held.append((source, p))
+        chars += len(p.text)
+        if len(held) >= most_rows or chars >= most_chars:
+            yield batch()
+            held, chars = [], 0
+    if held:
+        yield batch()
 
 
 def rebase(events: DataFrame, partitions: DataFrame) -> DataFrame:
