@@ -1,3 +1,4 @@
+import math
 import re
 from collections import Counter
 
@@ -17,6 +18,43 @@ def test_op1_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def brute_sizes(model, text):
+    """Sizes of a whole text under each dictionary, by compressors made anew."""
+    import zstandard
+
+    sizes = []
+    for d in model.dictionaries.values():
+        p = zstandard.ZstdCompressionParameters.from_level(model.level, min_match=model.min_match, write_content_size=0, write_checksum=0)
+        raw = zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        raw.precompute_compress(compression_params=p)
+        c, data = zstandard.ZstdCompressor(dict_data=raw, compression_params=p), text.lower().encode()
+        sizes.append(sum(len(c.compress(data[i : i + model.block_bytes])) for i in range(0, len(data), model.block_bytes)))
+    return sizes
+
+
+def test_op1_equals_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = lid.fit(docs.where(~lid.held_out(F.col("doc_id"), 3, 1)))
+    langs = list(model.dictionaries)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in lid.op1_language_id(spark, sf_dir).collect():
+        text = texts[r.doc_id]
+        if text is None or not lid.LETTER.search(text):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        sizes = brute_sizes(model, text)
+        best = min(sizes)
+        assert r.lang_pred == langs[sizes.index(best)]  # ties: the first language
+        assert abs(r.score - 1 / sum(math.exp((best - x) / (4 + 0.01 * best)) for x in sizes)) < 1e-12
+
+
+def test_ties_and_repeated_rows_of_two_languages(spark):
+    text = "nothing tells these two apart at all " * 5
+    model = lid.fit(spark.createDataFrame([(text, "zz"), (text, "aa"), (text, "aa")], "text string, lang string"))
+    rows = lid.detect(spark.createDataFrame([(text, 7), (text, 7)], "text string, __in0 int"), model).collect()
+    assert {(r.lang_pred, r.margin, r["__in0"]) for r in rows} == {("aa", 0.0, 7)}
+
+
 def test_language_odd_documents(spark, odd_docs):
     model = lid.fit(odd_docs, texts_per_language=3)
     assert set(model.dictionaries) == {"de", "en", "fr"}
@@ -56,6 +94,13 @@ def test_very_long_text(spark):
     assert tuple(row[n] for n in NAMES) == counts(text)
 
 
+def test_windows_that_share_a_hash_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(q, "PLACE_BITS", 62)  # two bits of the hash are left
+    texts = ["a b c d e f g a b c h i a b c d", "x y z " * 3 + "p q r s t"]
+    rows = q.measure(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()
+    assert {r.doc_id: tuple(r[n] for n in NAMES) for r in rows} == {i: counts(t) for i, t in enumerate(texts)}
+
+
 def test_quality_odd_documents(spark, odd_docs):
     measured = q.measure(odd_docs)
     table = q.adaptive_fences(measured)
@@ -66,16 +111,62 @@ def test_quality_odd_documents(spark, odd_docs):
     assert q.judge(empty, q.adaptive_fences(empty)).count() == 0
 
 
+def shares(spark, rows):
+    """Measured texts that pass the base rules: (lang, source, symbol_share)."""
+    numbered = [(i, *r, 0, 0, 100, 0) for i, r in enumerate(rows)]
+    return spark.createDataFrame(numbered, "doc_id int, lang string, source string, symbol_share long, dup_line_share long, repeat_share long, n_words long, n_repeat_words long")
+
+
 def test_sketches_merge_exactly(spark):
-    df = spark.range(3000).select((F.col("id") % 7).alias("a"), *[(F.col("id") * k % 1009).alias(m) for k, m in enumerate(q.FLOORS, 3)])
+    df = shares(spark, [("en", f"s{i % 7}", i * 31 % 1009) for i in range(3000)])
     whole = q.sketch(df, [])
-    parts = q.merge(q.sketch(df, ["a"]), [])
+    parts = q.merge(q.sketch(df, ["source"]), [])
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, parts.collect()))
-    assert all(abs(r.max_symbol_share) > 0 for r in q.fences(q.sketch(df, ["a"]), ["a"]).collect())
 
 
-def test_fences_follow_their_group(spark):
-    rows = [(i, "t", "en", "noisy" if i % 2 else "calm", 100 + i % 5 if not i % 2 else 600 + i % 100) for i in range(2000)]
-    df = spark.createDataFrame(rows, "doc_id int, text string, lang string, source string, symbol_share long").withColumns({"dup_line_share": F.lit(0).cast("long"), "repeat_share": F.lit(0).cast("long")})
-    table = {r.fence_source: r.max_symbol_share for r in q.adaptive_fences(df).collect()}
-    assert table["calm"] == q.FLOORS["symbol_share"] and table["noisy"] > 700
+def brute_fence(values):
+    """The split of the buckets with the largest variance between its sides, by all sums anew."""
+    def number(v):
+        v, over = v + q.NEAR_ZERO, max((v + q.NEAR_ZERO).bit_length() - q.BUCKET_BITS, 0)
+        return 32 * over + (v >> over)
+
+    x = sorted(map(number, values))
+    best = None
+    for cut in sorted(set(x))[:-1]:
+        low, high = [v for v in x if v <= cut], [v for v in x if v > cut]
+        a, b = sum(low) / len(low), sum(high) / len(high)
+        value = (b - a) * (b - a) * len(low) * len(high)
+        if best is None or value > best[0]:
+            best = value, a, b, len(high)
+    if best is None or best[2] - best[1] < q.APART or best[3] * q.MOST_RARE < len(x) or len(x) < q.LEAST_TEXTS:
+        return None
+    return (best[1] + best[2]) / 2
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 3000), st.integers(1, 60)), max_size=8))
+def test_fences_equal_brute_force(spark, counted):
+    values = [v for v, n in counted for _ in range(n)]
+    got = q.fences(q.sketch(shares(spark, [("en", "a", v) for v in values]), ["lang", "source"]), ["lang", "source"]).collect()
+    assert (got[0].symbol_share if got else None) == brute_fence(values)
+
+
+def test_fences_follow_their_corpus(spark):
+    rows = [("en", "mixed", 900 if i % 8 == 0 else i % 9) for i in range(800)]
+    rows += [("en", "junk", 800 + i % 90) for i in range(300)]  # one mode alone, all of it high
+    rows += [("de", "calm", i % 40) for i in range(500)]
+    rows += [("fr", "spread", i % 400) for i in range(500)]  # no second mode
+    df = shares(spark, rows)
+    table = q.adaptive_fences(df)
+    assert {r.source for r in table.collect()} == {"mixed", "junk", "calm", "spread"}
+    kept = {(r.source, r.symbol_share): r.kept for r in q.judge(df, table).collect()}
+    assert not any(k for (s, v), k in kept.items() if s == "junk" or v == 900)
+    assert all(k for (s, v), k in kept.items() if s in ("calm",) or s == "mixed" and v < 900)
+
+
+def test_other_columns_stay(spark, odd_docs):
+    df = odd_docs.withColumns({"__qw": F.lit(1), "__words": F.lit(2), "fence_lang": F.lit(3), "max_repeat_share": F.lit(4)})
+    measured = q.measure(df)
+    out = q.judge(measured, q.adaptive_fences(measured))
+    assert set(df.columns) <= set(out.columns)
+    assert {(r["__qw"], r["__words"], r.fence_lang, r.max_repeat_share) for r in out.collect()} == {(1, 2, 3, 4)}

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -12,39 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracewright.sources.tables import forget, shared_dir, written
 
-def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A new folder name (not created) below the folder in ``spark.checkpoint.dir``.
-
-    Only a local session may lack that setting; it then gets a temporary folder, as in tests.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = jdir.get() if jdir.isDefined() else None
-    if not root:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="tracewright-")
-        spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, purpose: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, which survives the loss of any executor."""
-    path = shared_dir(df.sparkSession, purpose)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out.written_path = path
-    return out
-
-
-def forget(*tables: DataFrame) -> None:
-    """Delete tables made by ``written``; nothing that is still to be computed may read them."""
-    for df in tables:
-        jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-        path = jvm.org.apache.hadoop.fs.Path(df.written_path)
-        path.getFileSystem(conf).delete(path, True)
+__all__ = ["bounded", "forget", "likely", "map_columns", "ragged", "release_memory", "shared_dir", "shuffle_partitions", "text_bytes", "worker_state", "written"]
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -90,6 +58,7 @@ def map_columns(
             for batch in bounded(whole, 0):
                 arrays = [batch.column(i) for i in range(n, batch.num_columns)] + fn(*[batch.column(i) for i in range(n)])
                 yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+        release_memory()
 
     return inner.mapInArrow(run, schema)
 
