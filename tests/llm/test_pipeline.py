@@ -31,7 +31,7 @@ def test_pipeline_against_brute_force(spark, sf_dir):
     con = duckdb.connect()
     documents = spark.createDataFrame(list(told.values()), docs.schema).toPandas()  # noqa: F841
     good = {d for d, kept in con.execute(f"SELECT doc_id, kept FROM ({quality_rules.ORACLE})").fetchall() if kept}
-    groups = brute_groups([(d, told[d].text) for d in good])
+    groups = brute_groups([(d, told[d].text) for d in good], percent=80, width=5)
     final = {d: told[d].text for d, _, c in groups if d == c}
     assert 0 < len(final) < len(good) < len(told) <= len(rows)
     check_pieces(cp.run(spark, sf_dir).collect(), final, token_ids.WordEncoder(PATH))
@@ -39,13 +39,18 @@ def test_pipeline_against_brute_force(spark, sf_dir):
 
 def test_stages_take_odd_documents(spark, odd_docs, sf_dir):
     for df in (odd_docs, odd_docs.limit(0)):
-        docs = df
+        docs, left = df, []
         for name, stage in cp.STAGES:
             docs = stage(spark, docs, sf_dir)
             if name != "packing":
                 assert docs.columns == cp.COLUMNS
                 docs = docs.cache()
-        assert docs.count() >= 0
+                left.append(sorted((r.doc_id for r in docs.collect()), key=str))
+        pieces = docs.collect()
+        assert all(r.start + r.length <= r.doc_tokens and r.offset + r.length <= 4096 for r in pieces)
+        assert {r.doc_id for r in pieces} == set(left[-1])
+        # Texts without a letter, or with fewer than 50 words, or all repeats, do not stay.
+        assert left == ([[1, 1, 5, 7, None], [], []] if df is odd_docs else [[], [], []])
     copies = cp.near_copies(spark, odd_docs, sf_dir)
     assert copies.where("doc_id = 1").count() == 1 and copies.where("doc_id is null").count() == 1
 
