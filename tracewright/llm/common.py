@@ -121,51 +121,3 @@ def bounded(batch: pa.RecordBatch, column: int, max_bytes: int = 4 << 20) -> Ite
         end = max(start + 1, int(np.searchsorted(upto, before + max_bytes, side="right")))
         yield batch.slice(start, end - start)
         start = end
-
-
-class RaggedCache:
-    """Integer arrays by string in a few numpy arrays; beyond ``capacity`` the less used half goes.
-
-    ``learn`` turns a list of unknown strings into a list of integer sequences.
-    """
-
-    def __init__(self, capacity: int, learn: Callable[[list[str]], list]):
-        self.capacity, self.learn = capacity, learn
-        self.known: dict[str, int] = {}
-        self.starts, self.lengths, self.hits = (np.zeros(1024, np.int64) for _ in range(3))
-        self.pool, self.used = np.zeros(1 << 14, np.uint32), 0
-
-    def places(self, words: list[str]) -> np.ndarray:
-        """The number of each word's array; numbers hold until the next call."""
-        if len(self.known) > self.capacity:
-            self._shrink()
-        known = self.known
-        if new := list(dict.fromkeys(w for w in words if w not in known)):
-            self._add(new, self.learn(new))
-        out = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-        self.hits[out] += 1
-        return out
-
-    def _shrink(self) -> None:
-        words, at = list(self.known), np.fromiter(self.known.values(), np.int64, len(self.known))
-        keep = np.sort(np.argsort(-self.hits[at], kind="stable")[: self.capacity // 2])
-        at = at[keep]
-        pool = ragged(self.pool, self.starts[at], self.lengths[at])
-        self.lengths, self.hits = self.lengths[at].copy(), self.hits[at] // 2
-        self.starts = np.cumsum(self.lengths) - self.lengths
-        self.pool, self.used = pool, len(pool)
-        self.known = {words[i]: k for k, i in enumerate(keep.tolist())}
-
-    def _add(self, words: list[str], each: list) -> None:
-        counts = np.fromiter(map(len, each), np.int64, len(each))
-        ids = np.fromiter((x for e in each for x in e), np.uint32, int(counts.sum()))
-        n, k = len(self.known), len(words)
-        if self.used + len(ids) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), len(ids)), np.uint32)])
-        if n + k > len(self.starts):
-            self.starts, self.lengths, self.hits = (np.concatenate([x, np.zeros(max(len(x), k), np.int64)]) for x in (self.starts, self.lengths, self.hits))
-        self.pool[self.used : self.used + len(ids)] = ids
-        self.starts[n : n + k] = self.used + np.cumsum(counts) - counts
-        self.lengths[n : n + k], self.hits[n : n + k] = counts, 0
-        self.used += len(ids)
-        self.known.update(zip(words, range(n, n + k), strict=True))
