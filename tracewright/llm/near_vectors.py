@@ -25,8 +25,6 @@ PREFIX, SHARED = 8, 3
 #: Vectors of a list that meet another block in one task.
 BLOCK = 512
 MOST_PIVOTS = 4096
-#: Rows of a group of equal vectors are dealt over this many keys.
-SALTS = 16
 
 
 def pivot_count(n: int) -> int:
@@ -36,15 +34,15 @@ def pivot_count(n: int) -> int:
 
 def choose_pivots(vectors: np.ndarray, n: int) -> np.ndarray:
     """Up to ``n`` unit vectors no two of which have a cosine of 0.9; filled up with fixed random directions."""
-    picked: list[np.ndarray] = []
+    dim = vectors.shape[1]
+    picked, k = np.zeros((n, dim)), 0
     for v in vectors:
-        if len(picked) == n:
+        if k == n:
             break
-        if not picked or float(np.max(np.stack(picked) @ v)) < 0.9:
-            picked.append(v)
-    dim = vectors.shape[1]
-    random = np.random.default_rng(dim).standard_normal((n - len(picked), dim))
-    return np.concatenate([np.stack(picked) if picked else np.zeros((0, dim)), random / np.linalg.norm(random, axis=1, keepdims=True)])
+        if not k or float(np.max(picked[:k] @ v)) < 0.9:
+            picked[k], k = v, k + 1
+    random = np.random.default_rng(dim).standard_normal((n - k, dim))
+    return np.concatenate([picked[:k], random / np.linalg.norm(random, axis=1, keepdims=True)])
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -65,13 +63,15 @@ def near_vectors(df: DataFrame, *, vec_id: str = "vec_id", embedding: str = "emb
 
     Rows link if their labels are equal and their vectors, of the same length, have a cosine of at
     least ``least``. Equal vectors of a label are one class: compared once, and linked to each
-    other. A null ``vec_id`` has no links. A repeated ``vec_id`` counts as two vectors with one id.
-    The pivots are fitted on a bounded sample of ``sample_per_pivot`` vectors each.
+    other. A null ``vec_id`` has no links. A repeated ``vec_id`` counts as two vectors with one id,
+    repeated rows as links to each other. Other columns are not read, whatever their names; an empty
+    table gives an empty one. A vector of any length must fit a task. The pivots are fitted on a bounded sample of ``sample_per_pivot`` vectors each.
     """
     spark = df.sparkSession
     rows = df.select(F.col(vec_id).cast("long").alias("vec_id"), F.transform(embedding, lambda x: x.cast("double")).alias("e"), F.col(label).alias("label"))
     rows = rows.withColumn("ok", usable("e", "label") & F.col("vec_id").isNotNull())
-    keyed = rows.where("ok").withColumns({"h1": F.xxhash64("e"), "h2": F.xxhash64("e", F.lit(1)), "dim": F.size("e")})
+    # Two hashes with different seeds: the literal in front changes the seed for all components.
+    keyed = rows.where("ok").withColumns({"h1": F.xxhash64("e"), "h2": F.xxhash64(F.lit(1), "e"), "dim": F.size("e")})
     key = ["label", "dim", "h1", "h2"]
     classes = written(keyed.groupBy(*key).agg(F.min("vec_id").alias("rep"), F.count("*").alias("m"), F.any_value("e").alias("e")), "vectors")
     n = classes.count()
@@ -93,12 +93,10 @@ def near_vectors(df: DataFrame, *, vec_id: str = "vec_id", embedding: str = "emb
     reached = components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     told = written(classes.select(*key, "rep", "m").join(links, "rep", "left").join(reached, F.col("rep") == F.col("node"), "left").select(*key, "rep", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("links"), F.coalesce("component", "rep").alias("component")), "told")
-    # Members look up their class; each class is offered on every salt, so a large one is dealt out.
-    spread = told.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    members = keyed.select(*key, "vec_id").withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(SALTS)).cast("int"))
-    linked = members.join(spread, [*key, "salt"]).select("vec_id", F.col("links").alias("n_links"), F.col("component").alias("component_id"))
+    # Members look up their class; Spark splits the members of a large one.
+    members = keyed.select(*key, "vec_id").join(told, key).select("vec_id", F.col("links").alias("n_links"), F.col("component").alias("component_id"))
     alone = rows.where("not ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    return members.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
 def _sampled_pivots(classes: DataFrame, n: int, per_pivot: int) -> dict[int, np.ndarray]:
