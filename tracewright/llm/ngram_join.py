@@ -45,8 +45,8 @@ COUNTED, RUN, OFTEN = np.uint64(1 << 62), 1 << 20, 2
 FREQUENT, MOST_FREQUENT = 32, 1_000_000
 #: Columns of shingles with this total are counted before the product; long ones never reach a task as a whole.
 HOT = 1024
-#: Rows and shingles of a block, on average.
-BLOCK_ROWS, BLOCK_SHINGLES = 1024, 1 << 19
+#: Least and most rows of a block, and its shingles, on average. A text is shipped once for each block of its bundle.
+LEAST_ROWS, MOST_ROWS, BLOCK_SHINGLES = 256, 1024, 1 << 19
 
 
 def frequent_shingles(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -313,8 +313,8 @@ def ngram_join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", p
 
     sized = bundles.join(classes.select(F.col("rep").alias("r"), "n"), F.col("rep") == F.col("r"))
     sizes = written(sized.groupBy("bundle").agg(F.count("*").alias("size"), F.sum("n").alias("shingles")), "bundle-sizes")
-    # Rows of a block: 96 in bundles of up to 2304, growing with the root of larger ones.
-    rows_of = F.least(F.lit(BLOCK_ROWS), F.greatest(F.lit(96), F.floor(2 * F.sqrt("size"))))
+    # Rows of a block grow with the root of large bundles, and the number of tasks in proportion to them.
+    rows_of = F.least(F.lit(MOST_ROWS), F.greatest(F.lit(LEAST_ROWS), F.floor(2 * F.sqrt("size"))))
     count = F.greatest(F.ceil(F.col("size") / rows_of), F.least(F.ceil(F.col("shingles") / BLOCK_SHINGLES), F.col("size"))).cast("int")
     blocks = bundles.join(sizes, "bundle").withColumn("blocks", count)
     dealt = blocks.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).select("rep", "bundle", "blocks", "own")
