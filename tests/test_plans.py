@@ -76,6 +76,23 @@ def test_result_documents(engine, tmp_path):
             codecs.decode_result(bad)
 
 
+def test_result_documents_read_their_rows_once_and_join_nothing(engine):
+    """A join's smaller side may be broadcast by the driver, and inputs parsed again may be numbered otherwise."""
+    inputs = engine.spark.createDataFrame([(7, "a", b'{"k": 1}\n{"k": "\xc3\xa9"}'), (7, "b", b"[2.50, 1e3]"), (8, "b", b""), (None, "c", b"3")], "input_index long, source_id string, content binary")
+    parsing = engine.parse("json", inputs)
+    made = codecs.result_documents(parsing)
+    assert "Join" not in made._jdf.queryExecution().executedPlan().toString()
+    events = {}
+    for r in sorted(parsing.events.collect(), key=lambda r: r.seq):
+        events.setdefault((r.source_id, r.input_index), []).append(json.loads(r.canonical))
+    got = {(r.source_id, r.input_index): r.document for r in made.collect()}
+    assert made.count() == len(got) == 4 and set(got) == {("a", 7), ("b", 7), ("b", 8), ("c", None)}
+    for key, document in got.items():
+        decoded = codecs.decode_result(document)
+        assert decoded["events"] == events.get(key, []) and document == compact(decoded)
+    assert events["c", None] and len(events["b", 7]) == 1
+
+
 def test_aggregate_codec_rejects(engine):
     good = engine.serialize(engine.aggregate("timestamped-log", engine.parse("timestamped-log", engine.inputs([("a", LOG)])).events)).first().document
     codec = codecs.EvidenceCodec()
