@@ -46,17 +46,16 @@ def map_columns(
     """
     gone = {f.name for f in fields} | set(drop)
     keep = [c for c in df.columns if c not in gone]
-    prefix = "in"
-    while any(c.startswith(prefix) for c in keep):
-        prefix = f"_{prefix}"
-    inner = df.select(*[F.col(f"`{c}`").alias(f"{prefix}{i}") for i, c in enumerate(columns)], *[F.col(f"`{c}`") for c in keep])
+    # Each column is sent once, though it be both read and kept: texts fill most of a worker's batch.
+    sent = list(dict.fromkeys([*columns, *keep]))
+    at = {c: i for i, c in enumerate(sent)}
+    inner = df.select(*[F.col(f"`{c}`") for c in sent])
     schema = T.StructType([f for f in df.schema.fields if f.name in keep] + fields)
-    n = len(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in bounded(whole, 0):
-                arrays = [batch.column(i) for i in range(n, batch.num_columns)] + fn(*[batch.column(i) for i in range(n)])
+                arrays = [batch.column(at[c]) for c in keep] + fn(*[batch.column(at[c]) for c in columns])
                 yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
         release_memory()
 

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_columns
+from .common import map_columns, worker_state
 
 LETTER = re.compile(r"[^\W\d_]")
 UNDETERMINED = "und"
@@ -95,21 +95,19 @@ def detect(df: DataFrame, model: LanguageModel, *, text: str = "text", min_margi
     return map_columns(df, [text], fields, run)
 
 
-_CACHE: dict = {}
-
-
 def _compressors(dicts: tuple[bytes, ...], level: int, min_match: int) -> list:
     import zstandard
 
-    if _CACHE.get("key") != (dicts, level, min_match):
+    def make() -> list:
         made = []
         params = zstandard.ZstdCompressionParameters.from_level(level, min_match=min_match, write_content_size=0, write_checksum=0)
         for d in dicts:
             raw = zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             raw.precompute_compress(compression_params=params)
             made.append(zstandard.ZstdCompressor(dict_data=raw, compression_params=params).compress)
-        _CACHE.update(key=(dicts, level, min_match), made=made)
-    return _CACHE["made"]
+        return made
+
+    return worker_state(("language", dicts, level, min_match), make)
 
 
 def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
